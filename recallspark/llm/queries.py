@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm import language_id, packing, personal_data, secrets, simhash, substring_dedup, token_counts, vector_dedup
+from recallspark.llm import language_id, packing, personal_data, pieces, secrets, simhash, substring_dedup, token_counts, topk_search, vector_dedup
 from recallspark.llm.common import fresh_path
 
 
@@ -38,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir))
 
@@ -56,5 +60,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_substring_dedup, op3_language_id, op4_packing, op6_token_counts, op7_simhash, op8_vector_dedup, op9_pii)}
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_substring_dedup, op3_language_id, op4_packing, op5_sentencepiece, op6_token_counts, op7_simhash, op8_vector_dedup, op9_pii, op10_topk_search)}
 ORACLE_SQL: dict[str, str] = {}
