@@ -41,6 +41,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Numbers(dict):
+    """Numbers words as they come, from first on; new holds those that came since it was emptied."""
+
+    def __init__(self, first: int = 0):
+        self.first, self.new = first, []
+
+    def __missing__(self, word):
+        self.new.append(word)
+        number = self[word] = self.first + len(self)
+        return number
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts have about max_bytes at most (a longer single text stays whole)."""
     for batch in batches:

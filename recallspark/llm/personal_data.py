@@ -5,9 +5,11 @@ phone number holds. From an anchor a deterministic parser expands to the bounds
 validates what is there. An expansion never looks beyond those bounds, so a text is read once plus the regions around its
 anchors, each of them once. Everything happens in the scan's own tasks: no shuffle, no state.
 
-Kinds, with the results of these patterns taken leftmost and without overlaps per kind, failing matches dropped:
-email, ip (parts up to 255), card (16 to 19 digits, Luhn), phone (8 to 15 digits). Beyond those: userinfo, the part
-before the last at-sign of an authority after a scheme mark.
+Base spans are the results of these patterns, leftmost and without overlaps per kind, failing matches dropped:
+email, ip (parts up to 255), card (16 to 19 digits, Luhn), phone (8 to 15 digits). The parsers add to them what such a
+match hides where it ran over the bounds of numbers that stand side by side: cards of one group of digits, or of four
+groups of four, in a run of too many digits; a phone number of the groups that make 15 digits at most; and userinfo,
+the part before the last at-sign of an authority after a scheme mark.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"[^\s/?#\"'<>\\]*")
+_GROUPS = re.compile(r"(?<![0-9-])(?:[0-9]{16,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9-])")
 _NOT_DIGITS = re.compile(r"[^0-9]")
 
 
@@ -69,11 +72,15 @@ def _region(text: str, at: int, inside: frozenset, run: re.Pattern) -> tuple[int
     return start, run.match(text, at).end()
 
 
-def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
-    """(start, end) in code points by kind, in order; end is exclusive. None is an empty text."""
-    spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+Spans = dict[str, list[tuple[int, int]]]
+
+
+def find_spans(text: str | None) -> tuple[Spans, Spans]:
+    """Base spans and added ones: (start, end) in code points by kind, in order; end is exclusive. None is an empty text."""
+    base: Spans = {k: [] for k in BASE}
+    added: Spans = {k: [] for k in KINDS}
     if not text:
-        return spans
+        return base, added
     done = dict.fromkeys(KINDS, 0)
     for end, (kind, back) in _anchors().iter(text):
         at = end - back
@@ -84,32 +91,53 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
             for m in _CARD.finditer(text, start, done[kind]):
                 digits = _NOT_DIGITS.sub("", m[0])
                 if 16 <= len(digits) <= 19 and luhn(digits):
-                    spans[kind].append(m.span())
+                    base[kind].append(m.span())
+                elif len(digits) > 16:
+                    added[kind] += [g.span() for g in _GROUPS.finditer(text, *m.span()) if luhn(_NOT_DIGITS.sub("", g[0]))]
         elif kind == "ip":
             start, done[kind] = _region(text, at, _DOTTED, _DOTTED_RUN)
-            spans[kind] += [m.span() for m in _IP.finditer(text, start, done[kind]) if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m.groups())]
+            base[kind] += [m.span() for m in _IP.finditer(text, start, done[kind]) if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m.groups())]
         elif kind == "phone":
             if m := _PHONE.match(text, at):
                 done[kind] = m.end()
-                if 8 <= len(_NOT_DIGITS.sub("", m[0])) <= 15:
-                    spans[kind].append(m.span())
+                n = len(_NOT_DIGITS.sub("", m[0]))
+                if 8 <= n <= 15:
+                    base[kind].append(m.span())
+                elif n > 15 and (cut := _phone_groups(m[0])):
+                    added[kind].append((at, at + cut))
         elif kind == "email":
             start = at
             while start > done[kind] and text[start - 1] in _LOCAL:
                 start -= 1
             if start < at and (m := _DOMAIN.match(text, at + 1)):
                 done[kind] = m.end()
-                spans[kind].append((start, m.end()))
+                base[kind].append((start, m.end()))
         else:
             start, stop = _AUTHORITY.match(text, end + 1).span()
             mark = text.rfind("@", start, stop)
             done[kind] = stop
             if mark > start:
-                spans[kind].append((start, mark))
-    return spans
+                added[kind].append((start, mark))
+    return base, added
+
+
+def _phone_groups(number: str) -> int:
+    """The length of the longest start of a number that ends with a group of digits and has 8 to 15 of them, else 0."""
+    found = digits = 0
+    for m in re.finditer(r"[0-9]+", number):
+        digits += len(m[0])
+        if digits > 15:
+            break
+        found = m.end() if digits >= 8 else 0
+    return found
+
+
+def all_spans(text: str | None) -> Spans:
+    base, added = find_spans(text)
+    return {k: sorted([*base.get(k, []), *added[k]]) for k in KINDS}
 
 
-def redacted(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
+def redacted(text: str, spans: Spans) -> str:
     """text with each span, or group of overlapping spans, replaced by the kind of its first one in angle brackets."""
     found = sorted((a, b, k) for k, each in spans.items() for a, b in each)
     if not found:
@@ -125,12 +153,12 @@ def redacted(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def _joined(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> str:
+def _joined(spans: Spans, kinds: tuple[str, ...]) -> str:
     return ",".join([f"{k}:{a}:{b}" for k in kinds for a, b in spans[k]])
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) for each row; base and spans list kind:start:end by kind, then start.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) for each row: the counts of base spans, and base and all spans as kind:start:end by kind, then start.
 
     A null or empty text has no spans. A null doc_id stays null; repeated rows are repeated; other columns are not read.
     """
@@ -139,8 +167,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             found = [find_spans(x) for x in batch.column("text").to_pylist()]
-            columns = [batch.column("doc_id"), *(pa.array([len(x[k]) for x in found], pa.int64()) for k in BASE)]
-            columns += [pa.array([_joined(x, kinds) for x in found], pa.string()) for kinds in (BASE, KINDS)]
+            every = [{k: sorted([*base.get(k, []), *added[k]]) for k in KINDS} for base, added in found]
+            columns = [batch.column("doc_id"), *(pa.array([len(base[k]) for base, _ in found], pa.int64()) for k in BASE)]
+            columns += [pa.array([_joined(base, BASE) for base, _ in found], pa.string()), pa.array([_joined(x, KINDS) for x in every], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *counts, "base", "spans"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -153,7 +182,7 @@ def redact_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text_col):
-            texts = [x and redacted(x, find_spans(x)) for x in batch.column(at).to_pylist()]
+            texts = [x and redacted(x, all_spans(x)) for x in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at).name, pa.array(texts, batch.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import small_batches, tokenizer_path
+from recallspark.llm.common import Numbers, small_batches, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 #: A worker's table of words starts anew beyond so many; that bounds memory and changes no result.
-MAX_WORDS = 200_000
+MAX_WORDS = 600_000
 #: Longer words go one by one; cells of a matrix of words at most.
 LONG, CELLS = 64, 1 << 20
 
@@ -247,7 +247,7 @@ class Vocabulary:
         return flat
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words, in which spaces are marks already, in batches of equal length."""
+        """Encodes new words, in which spaces are marks already, in batches of equal length, and stores their ids in the order given."""
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
@@ -275,15 +275,17 @@ class Vocabulary:
                 starts, symbol = self.merged(rows)
                 ends = np.where(starts[:, :-1] < starts[:, 1:], starts[:, 1:], 0)
                 each[1].extend(self._ids(part, ends, symbol))
-        self.words.update(zip(names, range(len(self.words), len(self.words) + len(names)), strict=True))
+        place = {w: k for k, w in enumerate(names)}
+        order = [place[w] for w in words]
         for mode in (0, 1):
+            each[mode][:] = [each[mode][k] for k in order]
             n = np.array([len(x) for x in each[mode]], np.int64)
             self.n[mode] = np.concatenate([self.n[mode], n])
             self.at[mode] = np.concatenate([self.at[mode], len(self.store[mode]) + np.cumsum(n) - n])
             self.store[mode] = np.concatenate([self.store[mode], *each[mode]])
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = Numbers()
         none = np.zeros(0, np.int64)
         self.n, self.at, self.store = [none, none], [none, none], [none, none]
 
@@ -296,11 +298,11 @@ class Vocabulary:
             own = _WORDS.findall((_SPACE + x).replace(_SPACE, _MARK)) if x else []
             words += own
             counts.append(len(own))
-        found = list(map(self.words.get, words))
-        if None in found:
-            self.learn(list(dict.fromkeys(w for w, k in zip(words, found, strict=True) if k is None)))
-            found = list(map(self.words.get, words))
-        index, ends = np.array(found, np.int64), np.cumsum(np.array(counts, np.int64))
+        index = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if self.words.new:
+            self.learn(self.words.new)
+            self.words.new = []
+        ends = np.cumsum(np.array(counts, np.int64))
         out = []
         for mode in (0, 1):
             n = self.n[mode][index] if len(index) else index

@@ -198,6 +198,7 @@ def drop_repeats(
     docs = docs.drop(*names)
     columns = docs.columns
     at_id, at_text = columns.index(id_col), columns.index(text_col)
+    home = "__bucket" + "_" * max(map(len, columns))  # no other column has this name
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     brief = durable(docs.select(F.col(id_col).cast("long").alias("doc"), F.sha2(text, 256).alias("same"), F.octet_length(text).alias("n")))
@@ -207,7 +208,7 @@ def drop_repeats(
     low_bits = min(bits, max(8, math.ceil(math.log2(block_windows / load))))  # cells in a block
 
     bucket = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(buckets)).cast("int")
-    dealt = docs.select(bucket.alias("__bucket"), *(F.col(f"`{c}`") for c in columns))
+    dealt = docs.select(bucket.alias(home), *(F.col(f"`{c}`") for c in columns))
 
     repeated = brief.where("doc is not null").groupBy("same").agg(F.min("doc").alias("least"), F.count("*").alias("times")).where("times > 1")
     copies = brief.hint("merge").join(repeated, "same").where("doc > least").select("doc").distinct()
@@ -224,7 +225,7 @@ def drop_repeats(
         out: dict[str, list] = {k: [] for k in ("bucket", "part", "layer", "data", "several")}
         if len(w.h1):
             hashes = distinct_pairs(w.h1, _ids(own)[w.doc])
-            name = own.column("__bucket")[0].as_py()
+            name = own.column(home)[0].as_py()
             for layer in range(depth):
                 cells, several = sketch_row(hashes, layer, bits)
                 part = (cells >> _U(low_bits)).astype(np.int64)
@@ -277,7 +278,7 @@ def drop_repeats(
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         at = np.flatnonzero(new)
         last = np.append(at[1:], len(h1)) - 1 if len(at) else at
-        name = own.column("__bucket")[0].as_py()
+        name = own.column(home)[0].as_py()
         return pa.table({"bucket": pa.array(np.full(len(at), name), pa.int32()), "h1": h1[at], "h2": h2[at], "low": doc[at], "high": doc[last]})
 
     def keep(_, own: pa.Table, side: pa.Table) -> pa.Table:
@@ -318,13 +319,13 @@ def drop_repeats(
             else:
                 left = ~gone[a:b]
                 texts.append(b" ".join([bytes(data[s:e]) for s, e in zip(w.starts[a:b][left].tolist(), w.ends[a:b][left].tolist(), strict=True)]))
-        out = own.select([c for c in own.column_names if c != "__bucket"])
+        out = own.select([c for c in own.column_names if c != home])
         for name, x in zip(names, (pa.array(n_words, pa.int64()), pa.array(n_gone), pa.array(texts, pa.binary()).cast(pa.string())), strict=True):
             out = out.append_column(name, x)
         return out
 
     def by_bucket(side: DataFrame):
-        return dealt.groupBy("__bucket").cogroup(side.select("bucket", "part", "layer", "data", "h1", "h2", "least", "doc").groupBy("bucket"))
+        return dealt.groupBy(home).cogroup(side.select("bucket", "part", "layer", "data", "h1", "h2", "least", "doc").groupBy("bucket"))
 
     sketch = by_bucket(flags).applyInArrow(sketches, _SKETCH)
     masks = sketch.groupBy("part", "layer").applyInArrow(merge, _SIDE)

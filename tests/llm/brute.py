@@ -102,6 +102,7 @@ def ids_crc32(ids):
 
 def vector_links(rows, least=0.9):
     ok = [(i, np.array(v, float)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ok = [(i, v / np.abs(v).max()) for i, v in ok]
     pairs = []
     for k, (i, v) in enumerate(ok):
         for j, w in ok[k + 1 :]:
