@@ -11,6 +11,7 @@ is left. A last sequence that is not full is cut into powers of two, which need
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,75 +21,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import small_batches, tokenizer_path
+from recallspark.llm.common import Numbers, small_batches, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW, UNIT, DEPTH, END_ID = 4096, 64, 3, 2
 #: Ids that are packed together; some hundreds of windows make the rounding negligible.
 BLOCK_IDS = 3_000_000
 #: A worker's table of words starts anew beyond so many; that bounds memory and changes no result.
-MAX_WORDS = 300_000
+MAX_WORDS = 800_000
 
+#: Words of ASCII signs and of Latin letters that lower-case one by one, and their pre-tokens in lower case.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įĲ-ž]+")
+_PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _word_tables: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    """Ids of words between ASCII white space, which this kind of tokenizer always splits at; each is encoded once."""
+    """Ids of words between ASCII white space, which this kind of tokenizer always splits at.
+
+    Each word is encoded once: words of plain letters, digits and signs from the ids of their pre-tokens, of which each
+    new one goes through the library once, many in one call; other words through the library as they are.
+    """
 
     def __init__(self, path: str, end_id: int, max_words: int = MAX_WORDS):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.end_id, self.max_words = end_id, max_words
-        self.separator = "<|startoftext|>"
-        self.separator_id = self.encoder.token_to_id(self.separator)
+        vocabulary = self.encoder.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         probe = ["a b", "a\tb", "a\n b", "a\r\x0b\x0cb"]
         self.by_word = all(self._encode(x) == self._encode("a") + self._encode("b") for x in probe)
-        self.clear()
+        tries = ("it's", "A1b22", "d'un", "Ünd,", "_a_", "x---", "don't!'s", "#1's")
+        self.lowers = self._encode("ABCXYZ Q") == self._encode("abcxyz q")
+        self.by_part = all(self._by_parts([x]) == [np.array(self._encode(x), "<u4").tobytes()] for x in self._reset(tries))
 
-    def clear(self):
-        self.known: dict[bytes, int] = {}
+    def _reset(self, found=()):
+        self.known = Numbers(1)
+        self.parts: dict[str, bytes] = {}
         self.at, self.n = np.zeros(1, np.int64), np.ones(1, np.int64)  # word 0 is the end of a document
-        self.ids = np.array([self.end_id], np.int64)
+        self.ids = np.array([self.end_id], np.uint32)
+        return found
+
+    def clear(self) -> None:
+        parts = self.parts if len(self.parts) < self.max_words else {}
+        self._reset()
+        self.parts = parts
 
     def _encode(self, text: str) -> list[int]:
         return self.encoder.encode(text, add_special_tokens=False).ids
 
+    def _by_parts(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words, as bytes."""
+        cut = [_PRE_TOKENS.findall(w.lower()) for w in words]
+        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.parts))
+        for k in range(0, len(new), 2000):
+            part = new[k : k + 2000]
+            ids = np.array(self._encode(" ".join(part)), "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1  # the last id of a pre-token closes it
+            if len(ends) == len(part):
+                self.parts.update(zip(part, [ids[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist())], strict=True))
+            else:
+                self.parts.update((p, np.array(self._encode(p), "<u4").tobytes()) for p in part)
+        known = self.parts
+        return [b"".join([known[p] for p in parts]) for parts in cut]
+
     def _learn(self, words: list[bytes]) -> None:
-        texts, found = [w.decode("utf-8", "replace") for w in words], []
-        plain = [i for i, x in enumerate(texts) if self.separator_id is not None and self.separator not in x]
-        for k in range(0, len(plain), 2000):  # one call for many words, with a special token between them
-            part = plain[k : k + 2000]
-            ids = np.array(self._encode(self.separator.join(f" {texts[i]} " for i in part)), np.int64)
-            cuts = np.flatnonzero(ids == self.separator_id)
-            pieces = np.split(ids, cuts)
-            found += zip(part, [pieces[0], *(x[1:] for x in pieces[1:])], strict=True)
-        known = dict(found)
-        each = [known[i] if i in known else np.array(self._encode(x), np.int64) for i, x in enumerate(texts)]
-        base, n = len(self.at), np.array([len(x) for x in each], np.int64)
-        self.known.update(zip(words, range(base, base + len(words)), strict=True))
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [bool(self.by_part and _PLAIN.fullmatch(x) and "<|" not in x) for x in texts]
+        quick = iter(self._by_parts([x for x, ok in zip(texts, plain, strict=True) if ok]))
+        each = [next(quick) if ok else np.array(self._encode(x), "<u4").tobytes() for x, ok in zip(texts, plain, strict=True)]
+        n = np.fromiter(map(len, each), np.int64, len(each)) // 4
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
         self.n = np.concatenate([self.n, n])
-        self.ids = np.concatenate([self.ids, *each])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(each), "<u4")])
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end id, and how many each text has."""
         if not self.by_word:
             each = [self._encode((x or b"").decode("utf-8", "replace")) + [self.end_id] for x in texts]
-            return np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each], np.int64)
+            return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
         if len(self.known) > self.max_words:
             self.clear()
         words, counts = [], []
         for x in texts:
-            own = x.split() if x else []
+            if x and self.lowers and b"<|" not in x:  # special tokens are matched before lower-casing
+                x = x.lower()
+            own = x.split() if x else []  # bytes: ASCII letters and white space only
             words += own
             counts.append(len(own))
-        found = list(map(self.known.get, words))
-        if None in found:
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, found, strict=True) if k is None)))
-            found = list(map(self.known.get, words))
+        found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
         ends = np.cumsum(np.array(counts, np.int64))
-        index = np.insert(np.array(found, np.int64), ends, 0)
+        index = np.insert(found, ends, 0)
         n = self.n[index]
         after = np.cumsum(n)
         ids = self.ids[np.repeat(self.at[index] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
@@ -277,7 +305,7 @@ def pack_documents(
             order = np.lexsort((start, document))
             document, start, length, sequence, offset = (x[order] for x in (document, start, length, sequence, offset))
             first = (np.cumsum(n) - n)[document] + start
-            small = ids.astype("<u4")
+            small = ids.astype("<u4", copy=False)
             crc = [zlib.crc32(small[a:b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
             key = pa.chunked_array(keys).combine_chunks().take(pa.array(document))
             name = (task << 40) + (block << 24) + sequence
@@ -302,6 +330,7 @@ def pack_documents(
         if keys:
             yield from packed(keys, np.concatenate(ids), np.concatenate(counts))
 
+
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names[1:7]) + ", ids array<long>" * with_ids)
