@@ -1,4 +1,4 @@
-"""The queries of this subpackage by name, and their SQL where SQL can express them."""
+"""The queries of this subpackage by name."""
 
 from __future__ import annotations
 
@@ -65,4 +65,3 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_substring_dedup, op3_language_id, op4_packing, op5_sentencepiece, op6_token_counts, op7_simhash, op8_vector_dedup, op9_pii, op10_topk_search)}
-ORACLE_SQL: dict[str, str] = {}
