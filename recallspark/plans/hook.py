@@ -17,13 +17,13 @@ def decision_of(result: Mapping) -> tuple[dict, int]:
     record, response = result.get("selected") or {}, result.get("tool_response")
     hit = {"hit_type": "exact-v5", "exact_key": result.get("exact_key"), **{k: record.get(k) for k in ("record_key", "ended_at", "freshness_class", "ttl_seconds")}}
     hit["note"] = "The tool call was not executed because exact-v5 found a fresh, successful, replayable response."
-    context = json.dumps({"tool_reuse": hit, "cached_tool_response": response}, ensure_ascii=False)
+    context = json.dumps({"cache_hit": hit, "cached_tool_response": response}, ensure_ascii=False)
     about = {"cacheHitType": "exact", "cacheRecordKey": record.get("record_key"), "cacheObservedAt": record.get("ended_at")}
     return {"decision": "deny", "reason": "tool reuse cache exact hit", "additionalContext": context, "toolResponse": response, "toolResponseMetadata": about}, 2
 
 
 def decide(text: str, environment: Mapping[str, str], match: Callable[..., dict] | None = None) -> tuple[dict, int]:
-    path, scope = environment.get("TOOL_REUSE_DB"), environment.get("TOOL_REUSE_SCOPE")
+    path, scope = environment.get("RECALL_DB"), environment.get("RECALL_SCOPE")
     if not path or not scope:
         return ALLOW, 0
     try:

@@ -225,7 +225,7 @@ def test_evaluation(spark):
 
 
 def test_hook(spark, exact_db):
-    env = {"TOOL_REUSE_DB": str(exact_db[0] / "db"), "TOOL_REUSE_SCOPE": "s"}
+    env = {"RECALL_DB": str(exact_db[0] / "db"), "RECALL_SCOPE": "s"}
     fresh = lambda *a, **o: api.match_exact(spark, *a, now_epoch=T0 + 5, **o)
     out, code = hook.decide(json.dumps({"tool_name": "terminal", "tool_input": curl("one")}), env, fresh)
     assert code == 2 and out["decision"] == "deny" and out["toolResponseMetadata"]["cacheRecordKey"] == "b" and "cached_tool_response" in json.loads(out["additionalContext"])
