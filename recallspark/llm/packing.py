@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import Numbers, small_batches, tokenizer_path
+from recallspark.llm.common import Numbers, release_memory, small_batches, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW, UNIT, DEPTH, END_ID = 4096, 64, 3, 2
 #: Ids that are packed together; some hundreds of windows make the rounding negligible.
 BLOCK_IDS = 3_000_000
 #: A worker's table of words starts anew beyond so many; that bounds memory and changes no result.
-MAX_WORDS = 800_000
+MAX_WORDS = 300_000
 
 #: Words of ASCII signs and of Latin letters that lower-case one by one, and their pre-tokens in lower case.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įĲ-ž]+")
@@ -329,7 +329,7 @@ def pack_documents(
                 keys, ids, counts, held, block = [], [], [], 0, block + 1
         if keys:
             yield from packed(keys, np.concatenate(ids), np.concatenate(counts))
-
+        release_memory()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
