@@ -38,6 +38,8 @@ _MARK, _SPACE = "▁", " "
 _WORDS = re.compile(r"▁+[^▁\n]*|\n+|[^▁\n]+")
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PI = np.uint64(pow(int(_P), -1, 1 << 64))
+#: Low bits of a key that a first look goes by.
+_LOW = np.uint64((1 << 20) - 1)
 _vocabularies: dict[str, "Vocabulary"] = {}
 
 
@@ -79,6 +81,9 @@ class Vocabulary:
         self.spelling = np.zeros((len(ids), self.longest), np.uint32)
         for k, i in enumerate(ids.tolist()):
             self.spelling[k, : len(self.names[i])] = _codes(self.names[i])
+        self.maybe = np.zeros(int(_LOW) + 1, bool)
+        self.maybe[self.keys & _LOW] = True
+        self.gains = np.append(self.scores, np.float32(-np.inf))  # the last one is that of no piece
         self.unknown_score = np.float32(self.scores.min() - np.float32(10))
         spelled = [bytes([self.bytes_of[i]]) if i in self.bytes_of else b"" if model.is_control(i) or model.is_unknown(i) else x.replace(_MARK, _SPACE).encode() for i, x in enumerate(self.names)]
         self.size = np.array([len(x) for x in spelled], np.int64)
@@ -107,45 +112,81 @@ class Vocabulary:
         """The piece (its place in the sorted keys, or -1) that is rows[who, start:end], for arrays of these."""
         length = end - start
         key = _mix((sums[who, end] - sums[who, start]) * inverse[start] + length.astype(np.uint64))
-        at = np.searchsorted(self.keys, key)
+        out = np.full(len(key), -1, np.int32)
+        hit = np.flatnonzero(self.maybe[key & _LOW])
+        at = np.searchsorted(self.keys, key[hit])
         at[at == len(self.keys)] = 0
-        at = np.where((self.keys[at] == key) & (self.lengths[at] == length), at, -1)
-        hit = np.flatnonzero(at >= 0)
-        if len(hit):
-            place = start[hit, None] + np.arange(self.longest)
-            inside = np.arange(self.longest) < length[hit, None]
-            same = (rows[who[hit, None], np.minimum(place, rows.shape[1] - 1)] == self.spelling[at[hit]]) | ~inside
-            at[hit[~same.all(axis=1)]] = -1
-        return at
-
-    def best_paths(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi over words of equal length: for each end position the start of the last piece of the best path there, and that piece (-1: unknown)."""
+        same = (self.keys[at] == key[hit]) & (self.lengths[at] == length[hit])
+        hit, at = hit[same], at[same]
+        same = np.ones(len(hit), bool)
+        for k in range(int(length[hit].max(initial=0))):  # character by character
+            here = k < length[hit]
+            same &= ~here | (rows[who[hit], np.minimum(start[hit] + k, rows.shape[1] - 1)] == self.spelling[at, k])
+        out[hit[same]] = at[same]
+        return out
+
+    def table(self, rows: np.ndarray) -> np.ndarray:
+        """The piece, or -1, of each length (first index) at each start (second) of words of equal length."""
         n, m = rows.shape
-        found = self._pieces_at(rows)
+        sums, inverse = self.sums(rows)
+        out = np.full((min(m, self.longest) + 1, m, n), -1, np.int32)
+        for length in range(1, len(out)):
+            start = np.repeat(np.arange(m - length + 1), n)
+            who = np.tile(np.arange(n), m - length + 1)
+            out[length, : m - length + 1] = self.find(rows, sums, inverse, who, start, start + length).reshape(-1, n)
+        return out
+
+    def best_paths(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi over words of equal length: for each end position the start of the last piece of the best path there, and that piece (-1: unknown)."""
+        longest, m, n = len(table) - 1, *table.shape[1:]
         score = np.full((m + 1, n), -np.inf, np.float32)
         score[0] = 0
-        back, piece = np.zeros((m + 1, n), np.int32), np.full((m + 1, n), -1, np.int64)
+        back, piece = np.zeros((m + 1, n), np.int32), np.full((m + 1, n), -1, np.int32)
         for end in range(1, m + 1):
-            for length in range(min(end, self.longest), 0, -1):
+            for length in range(min(end, longest), 0, -1):
                 start = end - length
-                at = found[length][start]
-                path = score[start] + np.where(at >= 0, self.scores[at], self.unknown_score if length == 1 else np.float32(-np.inf))
+                at = table[length, start]
+                gain = self.gains[at]
+                path = score[start] + (gain if length > 1 else np.where(at >= 0, gain, self.unknown_score))
                 better = path > score[end]
                 np.copyto(score[end], path, where=better)
                 np.copyto(piece[end], at, where=better)
                 back[end][better] = start
         return back.T, piece.T
 
-    def _pieces_at(self, rows: np.ndarray) -> list[np.ndarray]:
-        """For each length the pieces that start at each position (first index) of the rows."""
-        n, m = rows.shape
-        sums, inverse = self.sums(rows)
-        found = [np.zeros((0, n), np.int64)]
-        for length in range(1, min(m, self.longest) + 1):
-            start = np.repeat(np.arange(m - length + 1), n)
-            who = np.tile(np.arange(n), m - length + 1)
-            found.append(self.find(rows, sums, inverse, who, start, start + length).reshape(-1, n))
-        return found
+    def merged(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges of words of equal length: the symbols' starts (padded with the length) and their pieces (-1: unknown)."""
+        longest, m, n = len(table) - 1, *table.shape[1:]
+
+        def piece_at(who: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            fits = (b - a <= longest) & (b > a)
+            return np.where(fits, table[np.where(fits, b - a, 0), np.minimum(a, m - 1), who], -1)
+
+        starts = np.tile(np.arange(m + 2).clip(max=m), (n, 1))
+        pair = np.full((n, m + 1), -np.inf, np.float32)
+        if longest > 1:
+            pair[:, : m - 1] = self.gains[table[2, : m - 1]].T
+        active, place = np.arange(n), np.arange(m + 2)
+        while len(active):
+            k = pair[active].argmax(axis=1)
+            go = pair[active, k] > -np.inf
+            active, k = active[go], k[go]
+            if not len(active):
+                break
+            after = place > k[:, None]
+            starts[active] = np.take_along_axis(starts[active], np.minimum(place + after, m + 1), axis=1)
+            pair[active] = np.take_along_axis(pair[active], np.minimum(place[:-1] + after[:, :-1], m), axis=1)
+            for j in (k - 1, k):
+                ok = j >= 0
+                who, left = active[ok], j[ok]
+                real = starts[who, left + 1] < m
+                at = piece_at(who, starts[who, left], starts[who, np.minimum(left + 2, m + 1)])
+                pair[who, left] = np.where(real, self.gains[at], np.float32(-np.inf))
+        a, b = starts[:, :-1], starts[:, 1:]
+        piece = np.full(a.shape, -1, np.int32)
+        who, col = np.nonzero(a < b)
+        piece[who, col] = piece_at(who, a[who, col], b[who, col])
+        return starts, piece
 
     def long_word(self, word: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
         """(end, piece) of the best path and of the merges of one word of any length, with work in proportion to it."""
@@ -153,10 +194,9 @@ class Vocabulary:
         found: list[list[tuple[int, int]]] = [[] for _ in range(m + 1)]  # by end: (length, piece), longest first
         step = CELLS // 16
         for a in range(0, m, step):
-            part = self._pieces_at(_codes(word[a : a + step + self.longest])[None, :])
-            for length in range(len(part) - 1, 0, -1):
-                for k in np.flatnonzero(part[length][:step, 0] >= 0).tolist():
-                    found[a + k + length].append((length, int(part[length][k, 0])))
+            part = self.table(_codes(word[a : a + step + self.longest])[None, :])[:, :step, 0]
+            for length, k in zip(*(x.tolist() for x in np.nonzero(part >= 0)), strict=True):
+                found[a + k + length].append((length, int(part[length, k])))
         score, back = [np.float32(0)] * (m + 1), [(0, -1)] * (m + 1)
         for end in range(1, m + 1):
             top = None
@@ -196,41 +236,6 @@ class Vocabulary:
             a = stop[a]
         return best[::-1], own
 
-    def merged(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merges of words of equal length: the symbols' starts (padded with the length) and their pieces (-1: unknown)."""
-        n, m = rows.shape
-        sums, inverse = self.sums(rows)
-        starts = np.tile(np.arange(m + 2).clip(max=m), (n, 1))
-        pair = np.full((n, m + 1), -np.inf, np.float32)
-        for k in range(m - 1):
-            at = self.find(rows, sums, inverse, np.arange(n), np.full(n, k), np.full(n, k + 2))
-            pair[:, k] = np.where(at >= 0, self.scores[at], np.float32(-np.inf))
-        active = np.arange(n)
-        while len(active):
-            k = pair[active].argmax(axis=1)
-            go = pair[active, k] > -np.inf
-            active, k = active[go], k[go]
-            if not len(active):
-                break
-            place = np.arange(m + 2)
-            from_ = np.minimum(place + (place > k[:, None]), m + 1)
-            starts[active] = np.take_along_axis(starts[active], from_, axis=1)
-            from_ = np.minimum(np.arange(m + 1) + (np.arange(m + 1) > k[:, None]), m)
-            pair[active] = np.take_along_axis(pair[active], from_, axis=1)
-            for j in (k - 1, k):
-                ok = j >= 0
-                who, left = active[ok], j[ok]
-                a, b = starts[who, left], starts[who, np.minimum(left + 2, m + 1)]
-                real = starts[who, left + 1] < m
-                at = np.full(len(who), -1, np.int64)
-                at[real] = self.find(rows, sums, inverse, who[real], a[real], b[real])
-                pair[who, left] = np.where(at >= 0, self.scores[at], np.float32(-np.inf))
-        a, b = starts[:, :-1], starts[:, 1:]
-        who, col = np.nonzero(a < b)
-        piece = np.full(a.shape, -1, np.int64)
-        piece[who, col] = self.find(rows, sums, inverse, who, a[who, col], b[who, col])
-        return starts, piece
-
     def _spelled(self, word: str, ends: list[int], pieces: list[int]) -> np.ndarray:
         """Ids of pieces that end at these places of a word; what is unknown is spelled in bytes."""
         out: list[int] = []
@@ -238,51 +243,59 @@ class Vocabulary:
             out += [int(self.ids[p])] if p >= 0 else self.byte_ids[np.frombuffer(word[a:b].encode("utf-8", "replace"), np.uint8)].tolist()
         return np.array(out, np.int64)
 
-    def _ids(self, words: list[str], ends: np.ndarray, pieces: np.ndarray) -> list[np.ndarray]:
-        """Ids of words from matrices of the ends of pieces in order (0: none) and the pieces."""
+    def _ids(self, words: list[str], ends: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has, from matrices of the ends of pieces in order (0: none) and the pieces."""
         used = ends > 0
-        flat = np.split(self.ids[pieces[used]], np.cumsum(used.sum(axis=1))[:-1])
-        for i in np.flatnonzero((used & (pieces < 0)).any(axis=1)).tolist():
-            flat[i] = self._spelled(words[i], ends[i][used[i]].tolist(), pieces[i][used[i]].tolist())
-        return flat
+        flat, n = self.ids[pieces[used]], used.sum(axis=1)
+        odd = np.flatnonzero((used & (pieces < 0)).any(axis=1)).tolist()
+        if odd:
+            each = np.split(flat, np.cumsum(n)[:-1])
+            for i in odd:
+                each[i] = self._spelled(words[i], ends[i][used[i]].tolist(), pieces[i][used[i]].tolist())
+            flat, n = np.concatenate(each), np.array([len(x) for x in each])
+        return flat, n
 
     def learn(self, words: list[str]) -> None:
-        """Encodes new words, in which spaces are marks already, in batches of equal length, and stores their ids in the order given."""
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        names, each = [], ([], [])
-        for m, group in by_length.items():
-            names += group
+        """Encodes new words, in which spaces are marks already, in batches of equal length, and numbers them in the order given."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        at, n = np.zeros((2, len(words)), np.int64), np.zeros((2, len(words)), np.int64)
+        parts, size = ([], []), [len(self.store[0]), len(self.store[1])]
+
+        def keep(mode: int, who: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
+            parts[mode].append(flat)
+            n[mode, who] = counts
+            at[mode, who] = size[mode] + np.cumsum(counts) - counts
+            size[mode] += len(flat)
+
+        k = 0
+        while k < len(order):
+            m = int(lengths[order[k]])
             if m > LONG:
-                for w in group:
-                    for mode, path in enumerate(self.long_word(w)):
-                        each[mode].append(self._spelled(w, [e for e, _ in path], [p for _, p in path]))
+                for mode, path in enumerate(self.long_word(words[order[k]])):
+                    flat = self._spelled(words[order[k]], [e for e, _ in path], [p for _, p in path])
+                    keep(mode, order[k : k + 1], flat, np.array([len(flat)]))
+                k += 1
                 continue
-            step = max(1, CELLS // (m * m + 1))
-            for k in range(0, len(group), step):
-                part = group[k : k + step]
-                rows = _codes("".join(part)).reshape(len(part), m)
-                back, piece = self.best_paths(rows)
-                on, end, everyone = np.zeros(rows.shape, np.int64), np.full(len(part), m), np.arange(len(part))
-                last = np.full(rows.shape, -1, np.int64)
-                while end.any():  # each path back from its end; a piece stands where it ends
-                    live = everyone[end > 0]
-                    at = end[live]
-                    on[live, at - 1], last[live, at - 1] = at, piece[live, at]
-                    end[live] = back[live, at]
-                each[0].extend(self._ids(part, on, last))
-                starts, symbol = self.merged(rows)
-                ends = np.where(starts[:, :-1] < starts[:, 1:], starts[:, 1:], 0)
-                each[1].extend(self._ids(part, ends, symbol))
-        place = {w: k for k, w in enumerate(names)}
-        order = [place[w] for w in words]
+            to = min(int(np.searchsorted(lengths[order], m, side="right")), k + max(1, CELLS // (m * m + 1)))
+            who = order[k:to]
+            part = [words[i] for i in who.tolist()]
+            table = self.table(_codes("".join(part)).reshape(len(part), m))
+            back, piece = self.best_paths(table)
+            on, end, everyone = np.zeros((len(part), m), np.int64), np.full(len(part), m), np.arange(len(part))
+            last = np.full((len(part), m), -1, np.int64)
+            while end.any():  # each path back from its end; a piece stands where it ends
+                live = everyone[end > 0]
+                e = end[live]
+                on[live, e - 1], last[live, e - 1] = e, piece[live, e]
+                end[live] = back[live, e]
+            keep(0, who, *self._ids(part, on, last))
+            starts, symbol = self.merged(table)
+            keep(1, who, *self._ids(part, np.where(starts[:, :-1] < starts[:, 1:], starts[:, 1:], 0), symbol))
+            k = to
         for mode in (0, 1):
-            each[mode][:] = [each[mode][k] for k in order]
-            n = np.array([len(x) for x in each[mode]], np.int64)
-            self.n[mode] = np.concatenate([self.n[mode], n])
-            self.at[mode] = np.concatenate([self.at[mode], len(self.store[mode]) + np.cumsum(n) - n])
-            self.store[mode] = np.concatenate([self.store[mode], *each[mode]])
+            self.n[mode], self.at[mode] = np.concatenate([self.n[mode], n[mode]]), np.concatenate([self.at[mode], at[mode]])
+            self.store[mode] = np.concatenate([self.store[mode], *parts[mode]])
 
     def clear(self) -> None:
         self.words = Numbers()
