@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recallspark.llm import language_id, packing, personal_data, pieces, secrets, simhash, substring_dedup, token_counts, topk_search, vector_dedup
+from recallspark.llm import language_id, near_copies, packing, personal_data, pieces, secrets, simhash, substring_dedup, token_counts, topk_search, vector_dedup
 from recallspark.llm.common import connected_components, fresh_path
 from tests.llm import brute
 
@@ -184,6 +184,30 @@ def test_simhash(spark, docs, empty):
     assert len(got) == 3 * len(sample()) and {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None} == {(i, c) for i, (_, c) in want.items()}
 
 
+@pytest.mark.parametrize("frequent", [near_copies.FREQUENT, 1])
+def test_near_copies(spark, docs, empty, monkeypatch, frequent):
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+    r = random.Random(7)
+    texts, line = [t for _, t in ids(sample())], prose(40, 30)
+    for k in range(60):
+        words = prose(100 + k // 6, r.choice([3, 5, 6, 60, 200])).split()
+        for _ in range(r.randrange(5)):
+            words[r.randrange(len(words))] = r.choice(WORDS)
+        texts.append(" ".join(words).upper() if k % 7 == 0 else f"{line} {' '.join(words)}" if k % 3 == 0 else " ".join(words))
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    near = [(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if x == y or len(x & y) >= 0.8 * len(x | y)]
+    assert sum(0 < len(sets[i] ^ sets[j]) for i, j in near) > 10
+    found = near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == brute.components(range(len(texts)), near)
+    # near copies that SimHash puts more than 2 bits apart leave one document in the pipeline
+    words = prose(50, 200).split()
+    pair = [(1, " ".join(words)), (2, " ".join([*words[:60], "x", *words[61:140], "y", *words[141:]]))]
+    assert (simhash.fingerprint(pair[0][1].encode()) ^ simhash.fingerprint(pair[1][1].encode())).bit_count() > 2
+    assert [x["doc_id"] for x in corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(pair, "doc_id long, text string"), "").collect()] == [1]
+    assert near_copies.near_copies(empty).count() == 0
+
+
 def test_golay_keys():
     r = np.random.default_rng(3)
     words = r.integers(0, 1 << 23, 500)
