@@ -17,6 +17,7 @@ taken for one only if two independent 64-bit hashes agree.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -172,12 +173,18 @@ _SIDE = "bucket int, part int, layer int, data binary, h1 long, h2 long, least l
 _SKETCH = "bucket int, part int, layer int, data binary, several binary"
 
 
-def _skipped(ids: pa.Array, side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a bucket that send no windows (null ids, and whole copies), and the whole copies: ids that the side table names (part -1)."""
-    flags = side.filter(pc.equal(side.column("part"), -1)).column("doc")
-    known = ids.to_numpy(zero_copy_only=False) if not ids.null_count else ids.fill_null(0).to_numpy(zero_copy_only=False)
-    copies = np.isin(known, flags.to_numpy()) if len(flags) else np.zeros(len(ids), bool)
-    return copies | ids.is_null().to_numpy(zero_copy_only=False), copies
+def _skipped(ids: pa.Array, texts: pa.Array, side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a bucket that send no windows (null ids, and whole copies), and the whole copies: ids with the SHA-256 of the text that the side table names (part -1)."""
+    flags = side.filter(pc.equal(side.column("part"), -1))
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    copies = np.zeros(len(ids), bool)
+    if flags.num_rows:
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        named = set(zip(flags.column("doc").to_pylist(), flags.column("data").to_pylist(), strict=True))
+        data, at = text_bytes(texts)
+        for k in np.flatnonzero(np.isin(known, flags.column("doc").to_numpy()) & ~null).tolist():
+            copies[k] = (int(known[k]), hashlib.sha256(data[at[k] : at[k + 1]]).digest()) in named
+    return copies | null, copies
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
@@ -211,16 +218,16 @@ def drop_repeats(
     dealt = docs.select(bucket.alias(home), *(F.col(f"`{c}`") for c in columns))
 
     repeated = brief.where("doc is not null").groupBy("same").agg(F.min("doc").alias("least"), F.count("*").alias("times")).where("times > 1")
-    copies = brief.hint("merge").join(repeated, "same").where("doc > least").select("doc").distinct()
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("data", "binary"), ("h1", "long"), ("h2", "long"), ("least", "long"))]
+    copies = brief.hint("merge").join(repeated, "same").where("doc > least").select("doc", "same").distinct()
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("h1", "long"), ("h2", "long"), ("least", "long"))]
     owner = F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int").alias("bucket")
-    flags = durable(copies.select(owner, F.lit(-1).alias("part"), F.lit(0).alias("layer"), *nothing, "doc"))
+    flags = durable(copies.select(owner, F.lit(-1).alias("part"), F.lit(0).alias("layer"), F.unhex("same").alias("data"), *nothing, "doc"))
 
     def _ids(own: pa.Table) -> np.ndarray:
         return _column(own, columns[at_id]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def sketches(_, own: pa.Table, side: pa.Table) -> pa.Table:
-        skip, _ = _skipped(_column(own, columns[at_id]), side)
+        skip, _ = _skipped(_column(own, columns[at_id]), _column(own, columns[at_text]), side)
         w = Windows(_column(own, columns[at_text]), window, skip, False)
         out: dict[str, list] = {k: [] for k in ("bucket", "part", "layer", "data", "several")}
         if len(w.h1):
@@ -255,7 +262,7 @@ def drop_repeats(
         return pa.table(out, names=["bucket", "part", "layer", "data", "h1", "h2", "least", "doc"]).filter(keep)
 
     def candidates(_, own: pa.Table, side: pa.Table) -> pa.Table:
-        skip, _ = _skipped(_column(own, columns[at_id]), side)
+        skip, _ = _skipped(_column(own, columns[at_id]), _column(own, columns[at_text]), side)
         w = Windows(_column(own, columns[at_text]), window, skip, True)
         told = side.filter(pc.greater_equal(side.column("part"), 0))
         masks = {(p, k): x for p, k, x in zip(told.column("part").to_pylist(), told.column("layer").to_pylist(), told.column("data").to_pylist(), strict=True)}
@@ -283,7 +290,7 @@ def drop_repeats(
 
     def keep(_, own: pa.Table, side: pa.Table) -> pa.Table:
         ids = _column(own, columns[at_id])
-        skip, copies = _skipped(ids, side)
+        skip, copies = _skipped(ids, _column(own, columns[at_text]), side)
         w = Windows(_column(own, columns[at_text]), window, skip, True)
         told = side.filter(pc.equal(side.column("part"), -2))
         h1, h2, least = (told.column(c).to_numpy() for c in ("h1", "h2", "least"))

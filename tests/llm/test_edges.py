@@ -85,6 +85,13 @@ def test_substring(spark, docs, empty):
     assert {(r["doc_id"], r["n_removed"]) for r in found.where("doc_id is not null").collect()} == {(i, x[1]) for i, x in want.items()}
 
 
+def test_substring_ids_with_several_texts(spark):
+    shared, own = prose(60, 40), prose(61, 40)
+    rows = [(0, shared), (1, own), (2, shared), (2, prose(62, 40)), (3, f"{prose(62, 40)} end"), (None, own)]
+    found = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["text"]): r["kept_text"] for r in found} == {**dict(zip(rows, (t for _, t in rows), strict=True)), rows[2]: "", rows[4]: "end"}
+
+
 def test_language(spark, docs, empty):
     filters = language_id.fit(docs)
     found = {r["doc_id"]: r for r in language_id.identify(docs, filters).collect()}
