@@ -35,7 +35,7 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"[^\s/?#\"'<>\\]*")
-_GROUPS = re.compile(r"(?<![0-9-])(?:[0-9]{16,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9-])")
+_GROUPS = re.compile(r"(?<![0-9])(?:[0-9]{16,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])")
 _NOT_DIGITS = re.compile(r"[^0-9]")
 
 
@@ -93,7 +93,7 @@ def find_spans(text: str | None) -> tuple[Spans, Spans]:
                 if 16 <= len(digits) <= 19 and luhn(digits):
                     base[kind].append(m.span())
                 elif len(digits) > 16:
-                    added[kind] += [g.span() for g in _GROUPS.finditer(text, *m.span()) if luhn(_NOT_DIGITS.sub("", g[0]))]
+                    added[kind] += _cards(text, *m.span())
         elif kind == "ip":
             start, done[kind] = _region(text, at, _DOTTED, _DOTTED_RUN)
             base[kind] += [m.span() for m in _IP.finditer(text, start, done[kind]) if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m.groups())]
@@ -121,6 +121,17 @@ def find_spans(text: str | None) -> tuple[Spans, Spans]:
     return base, added
 
 
+def _cards(text: str, at: int, stop: int) -> list[tuple[int, int]]:
+    """Cards in a run of groups of digits: the first that passes Luhn, from any group on, then those after it."""
+    found = []
+    while m := _GROUPS.search(text, at, stop):
+        at = m.start() + 1
+        if luhn(_NOT_DIGITS.sub("", m[0])):
+            found.append(m.span())
+            at = m.end()
+    return found
+
+
 def _phone_groups(number: str) -> int:
     """The length of the longest start of a number that ends with a group of digits and has 8 to 15 of them, else 0."""
     found = digits = 0

@@ -294,6 +294,15 @@ def test_personal_data(spark, docs, empty):
     assert texts[0] is None and texts[11] == "mail <EMAIL>, <IP> <PHONE> x"
 
 
+def test_cards_beside_numbers():
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    for text, want in (
+        (f"paid 2024 {card} ok", "paid 2024 <CARD> ok"), ("1234-4111111111111111", "1234-<CARD>"), ("4111111111111111-1234", "<CARD>-1234"), (f"12 {card} 2024 {card}", "12 <CARD> 2024 <CARD>"),
+        (f"2024-{other}-7", "2024-<CARD>-7"), (f"x {card}", "x <CARD>"), (f"1{card}", f"1{card}"),
+    ):
+        assert personal_data.redacted(text, personal_data.all_spans(text)) == want
+
+
 def test_personal_data_random():
     r = random.Random(11)
     bits = ["a", "b.c", "@", "@x.y", ".", "-", " ", "+1", "(2)", "1.2.3.4", "255", "4111", "1111-", "0" * 7, "://u:p@h", "\n", "é", "9.9.9.9.9.9.9.9"]
