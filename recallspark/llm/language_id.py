@@ -5,7 +5,8 @@ selects a few slots, and the conjunction of their masks names all languages that
 the popcounts by language are corrected for each filter's rate of false positives; the largest decides.
 
 The filters are learned from a bounded sample of labelled rows: PER_LANGUAGE rows of a language, one for each slot of a
-hash of the id, with texts up to MAX_SAMPLE_BYTES. Filters have a fixed size for each language. Prediction
+hash of the id, with texts up to MAX_SAMPLE_BYTES; a language that has only longer ones is learned from the letters at
+their starts. Filters have a fixed size for each language. Prediction
 reads whole texts in the scan's own tasks, without a shuffle.
 """
 
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.llm.common import small_batches
@@ -127,10 +128,13 @@ def fit(
     The sample's bound is per_language * max_bytes for each language; its n-gram counts are all that comes to the driver.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where((F.octet_length("text") <= max_bytes) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).withColumn("long", F.octet_length("text") > max_bytes)
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    slot = rows.withColumn("slot", F.pmod(order, F.lit(per_language))).groupBy("lang", "slot").agg(F.min(F.struct(order.alias("order"), "doc_id")).alias("least"))
-    sample = rows.join(F.broadcast(slot.select("lang", F.col("least.doc_id").alias("doc_id"))), ["lang", "doc_id"])
+    slot = rows.withColumn("slot", F.pmod(order, F.lit(per_language))).groupBy("lang", "slot").agg(F.min(F.struct("long", order.alias("order"), "doc_id")).alias("least"))
+    slot = slot.select("lang", "least.long", "least.doc_id").withColumn("none", F.min("long").over(Window.partitionBy("lang"))).where("long = none").drop("none")
+    sample = rows.join(F.broadcast(slot), ["lang", "doc_id", "long"])
+    letters = F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, max_bytes // 4)  # a character has 4 bytes at most
+    sample = sample.withColumn("text", F.when(F.col("long"), letters).otherwise(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):

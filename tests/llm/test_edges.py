@@ -106,6 +106,15 @@ def test_language(spark, docs, empty):
     assert all(r["lang"] == r["lang_pred"] for r in found)
 
 
+def test_language_of_long_texts(spark):
+    long = [(k, "9" * 2000 + " ".join(random.Random(k).choices(["ein", "haus", "und", "garten"], k=500)), "de") for k in range(3)]
+    short = [(k, " ".join(random.Random(k).choices(["one", "house", "with", "tree"], k=50)), "en") for k in range(3, 6)]
+    short.append((6, "ein haus und garten " * 200, "en"))  # too long, and not needed
+    filters = language_id.fit(spark.createDataFrame(long + short, "doc_id long, text string, lang string"), max_bytes=1000)
+    assert filters.languages == ["de", "en"]
+    assert filters.predict(["ein garten und haus", "one tree with house"])[0] == ["de", "en"]
+
+
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
