@@ -224,6 +224,13 @@ def test_near_copies(spark, docs, empty, monkeypatch, frequent):
     assert near_copies.near_copies(empty).count() == 0
 
 
+def test_near_copies_of_ids_with_several_texts(spark):
+    a, b, c = prose(70, 50), prose(71, 50), prose(72, 50)
+    rows = [(1, a), (1, b), (1, b), (1, f"{a} x"), (2, b), (2, c), (3, c), (None, a)]
+    got = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((x["doc_id"] or 0, x["text"].removesuffix(" x")) for x in got) == sorted([(0, a), (1, a), (1, b), (2, c)])
+
+
 def test_golay_keys():
     r = np.random.default_rng(3)
     words = r.integers(0, 1 << 23, 500)
