@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir. There is no other one to fall back to."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return at or tempfile.mkdtemp(prefix="recallspark-")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint in the shared folder: its lineage ends there, and a lost executor costs nothing."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    if not at:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+    return at
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -32,6 +25,44 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables that an operator writes to the shared folder on its way: lineage ends there, and a lost executor costs nothing.
+
+    A table goes when the operator drops it; those that its result is still read from go when the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self._kept = spark, fresh_path(spark, f"scratch-{name}"), []
+        self._at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.deleteOnExit(self._at(self.path))
+
+    def keep(self, df: DataFrame, *old: DataFrame) -> DataFrame:
+        """df as a written table. Tables in old, which are not needed beyond it, are dropped."""
+        path = f"{self.path}/{len(self._kept)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._kept.append((out, path))
+        self.drop(*old)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for kept, path in self._kept:
+            if any(kept is x for x in tables):
+                self._fs.delete(self._at(path), True)
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """many joined on key with few, which has each key once: a key's rows in many go to so many tasks, and few is repeated that often.
+
+    The salt comes from all of a row's columns, so a repeated row stays with its copies.
+    """
+    salt = "__salt" + "_" * max(map(len, many.columns))
+    left = many.withColumn(salt, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in many.columns)), F.lit(salts)).cast("int"))
+    right = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.hint("merge").join(right, [key, salt], how).drop(salt)
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a vocabulary file: an absolute path as it is, else a file of the installed public vocabularies."""
     if os.path.isabs(name):
@@ -59,12 +90,25 @@ def release_memory() -> None:
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library has its own way
         pass
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task's function over batches that gives memory back when it is done."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts have about max_bytes at most (a longer single text stays whole)."""
     for batch in batches:
@@ -97,16 +141,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for each node with an edge to another node, the smallest node it is connected to.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014): a node's smallest neighbour is a
-    pre-aggregated minimum, joined back by a join that splits hot nodes; each round is checkpointed in the shared folder, and the rounds grow as the logarithm of the longest chain.
-    Only counts come to the driver. Edges with a null end and loops are left out.
+    Alternating large-star and small-star steps (Kiveris et al. 2014): a node's smallest neighbour is a pre-aggregated
+    minimum, joined back by a join that splits hot nodes. Each round is written to the shared folder and replaces the one
+    before; the rounds grow as the logarithm of the longest chain, and each but the last changes the edges, of which
+    there are finitely many stars to reach, so they end. Only counts come to the driver. Edges with a null end and loops
+    are left out.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    now, before = durable(now), None
-    for _ in range(max_rounds):
+    now, before = scratch.keep(now), None
+    while True:
         # large star: each neighbour larger than the node is linked to the smallest node of the neighbourhood
         both = now.select(F.col("u").alias("n"), F.col("v").alias("m")).union(now.select(F.col("v").alias("n"), F.col("u").alias("m")))
         lows = both.groupBy("n").agg(F.min("m").alias("low"))
@@ -114,11 +160,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # small star: the smaller neighbours, and the node itself, are linked to the smallest of them
         lows = star.groupBy("u").agg(F.min("v").alias("low"))
         rest = star.join(lows, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        now = durable(rest.union(lows.select("u", F.col("low").alias("v"))).distinct())
+        now = scratch.keep(rest.union(lows.select("u", F.col("low").alias("v"))).distinct(), now)
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,9 +5,8 @@ selects a few slots, and the conjunction of their masks names all languages that
 the popcounts by language are corrected for each filter's rate of false positives; the largest decides.
 
 The filters are learned from a bounded sample of labelled rows: PER_LANGUAGE rows of a language, one for each slot of a
-hash of the id, with texts up to MAX_SAMPLE_BYTES; a language that has only longer ones is learned from the letters at
-their starts. Filters have a fixed size for each language. Prediction
-reads whole texts in the scan's own tasks, without a shuffle.
+hash of id and text, and of each the first SAMPLE_CHARS characters of its letters (runs of others are one space). Filters
+have a fixed size for each language. Prediction reads whole texts in the scan's own tasks, without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from recallspark.llm.common import small_batches
+from recallspark.llm.common import Scratch, releasing, small_batches
 
 SIZES = (3, 4)
-PER_LANGUAGE, MAX_SAMPLE_BYTES = 512, 64_000
+PER_LANGUAGE, SAMPLE_CHARS = 512, 16_000
 #: n-grams of a language that its filter holds at most, and slots; two slots an n-gram.
 TOP, SLOT_BITS = 20_000, 19
 #: An n-gram is a language's own if its share there is at least so much of its largest share in any language.
@@ -119,25 +119,31 @@ class LanguageFilters:
         return [self.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), total.tolist(), strict=True)], np.where(total > 0, score, 0.0)
 
 
+def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, chars: int, scratch: Scratch) -> DataFrame:
+    """(lang, text): at most per_language rows of each language, whatever ids or rows are repeated, with at most so many characters each."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).withColumn("order", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    slots = rows.groupBy("lang", F.pmod("order", F.lit(per_language)).alias("slot")).agg(F.min("order").alias("order"))
+    slots = scratch.keep(slots)  # its size is known to the engine then, which broadcasts it if that is small
+    letters = F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, chars)
+    found = rows.join(slots, ["lang", "order"], "leftsemi").select("lang", "order", letters.alias("text"))
+    return found.dropDuplicates(["lang", "order"]).select("lang", "text")
+
+
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE,
-    max_bytes: int = MAX_SAMPLE_BYTES, top: int = TOP, slot_bits: int = SLOT_BITS,
+    chars: int = SAMPLE_CHARS, top: int = TOP, slot_bits: int = SLOT_BITS,
 ) -> LanguageFilters:
     """Filters of the languages that label rows of docs; rows with a null id, text or label are not learned from.
 
-    The sample's bound is per_language * max_bytes for each language; its n-gram counts are all that comes to the driver.
+    The sample's bound is per_language * chars for each language; repeated rows count once, and of a very long text a part
+    is taken. Shares of n-grams are computed by the engine; the driver gets what the filters hold, top n-grams of a
+    language, ties in order of their hashes.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).withColumn("long", F.octet_length("text") > max_bytes)
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    slot = rows.withColumn("slot", F.pmod(order, F.lit(per_language))).groupBy("lang", "slot").agg(F.min(F.struct("long", order.alias("order"), "doc_id")).alias("least"))
-    slot = slot.select("lang", "least.long", "least.doc_id").withColumn("none", F.min("long").over(Window.partitionBy("lang"))).where("long = none").drop("none")
-    sample = rows.join(F.broadcast(slot), ["lang", "doc_id", "long"])
-    letters = F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, max_bytes // 4)  # a character has 4 bytes at most
-    sample = sample.withColumn("text", F.when(F.col("long"), letters).otherwise(F.col("text")))
+    scratch = Scratch(docs.sparkSession, "language-id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1 << 20):
             names = batch.column("lang").to_pylist()
             hashes, row = _grams(batch.column("text").to_pylist())
             known = sorted(set(names))
@@ -146,20 +152,24 @@ def fit(
                 gram, n = np.unique(hashes[of == k], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    counts = sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    seen = counts.toPandas()
-    if seen.empty:
-        return LanguageFilters.build({}, slot_bits)
-    seen["share"] = seen["n"] / seen.groupby("lang")["n"].transform("sum")
-    seen = seen[seen["share"] >= OWN_SHARE * seen.groupby("gram")["share"].transform("max")]
-    seen = seen.sort_values(["lang", "n", "gram"], ascending=[True, False, True]).groupby("lang").head(top)
-    return LanguageFilters.build({name: each["gram"].to_numpy().view(np.uint64) for name, each in seen.groupby("lang")}, slot_bits)
+    rows = sampled(docs, id_col, text_col, lang_col, per_language, chars, scratch)
+    counts = scratch.keep(rows.mapInArrow(releasing(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("total"))
+    shares = shares.withColumn("largest", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= OWN_SHARE * F.col("largest"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best = shares.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "gram").toArrow()
+    names, grams = best.column("lang").to_numpy(zero_copy_only=False), best.column("gram").to_numpy().view(np.uint64)
+    scratch.drop(counts)
+    return LanguageFilters.build({name: grams[names == name] for name in sorted(set(names.tolist()))}, slot_bits)
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with the columns lang_pred and score (after prefix); columns that have these names already are replaced.
 
-    Null and empty texts and those without a letter get `und` and 0.
+    Null and empty texts and those without a letter get `und` and 0. Languages that explain equal parts of a text are a tie
+    that the first name wins. Every row is judged on its own whole text, however long: repeated rows get the same
+    answer, and ids are not looked at.
     """
     names = [f"{prefix}lang_pred", f"{prefix}score"]
     docs = docs.drop(*names)
@@ -170,10 +180,8 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text",
             lang, score = shared.value.predict(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
     schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def in_training(id_col: str = "doc_id"):

@@ -16,13 +16,15 @@ def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
 
 
 _FOUND = " union all ".join(_spans(r.kind, k, r.pattern, r.group, r.least) for k, r in enumerate(RULES))
-_COUNTS = ", ".join(f"coalesce(n_{r.kind}, 0)::bigint as n_{r.kind}" for r in RULES)
-_SUMS = ", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in RULES)
+_BASE = [r.kind for r in RULES if r.base]
+_COUNTS = ", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in _BASE)
+_SUMS = ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in _BASE)
+_LIST = "string_agg(kind || ':' || cast(s.a as bigint) || ':' || cast(s.a + s.n as bigint), ',' order by s.a, rank)"
 
 ORACLE_SQL = {
     "op1_secrets": f"""with texts_ as (select doc_id, coalesce(text, '') as t from documents), found_ as ({_FOUND}),
-each_ as (select doc_id, {_SUMS}, string_agg(kind || ':' || cast(s.a as bigint) || ':' || cast(s.a + s.n as bigint), ',' order by s.a, rank) as spans from found_ group by doc_id)
-select doc_id, {_COUNTS}, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from documents left join each_ using (doc_id)""",
+each_ as (select doc_id, {_SUMS}, {_LIST} filter (rank < {len(_BASE)}) as base, {_LIST} as spans from found_ group by doc_id)
+select doc_id, {_COUNTS}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from documents left join each_ using (doc_id)""",
     "op2_substring_dedup": r"""with words_ as (select doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
 windows_ as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from words_ where len(w) >= 13)),
 least_ as (select s, min(doc_id) as d from windows_ group by s), hits_ as (select doc_id, i from windows_ join least_ using (s) where d < doc_id),

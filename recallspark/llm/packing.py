@@ -21,17 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import Numbers, release_memory, small_batches, tokenizer_path
+from recallspark.llm.common import Numbers, releasing, small_batches, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW, UNIT, DEPTH, END_ID = 4096, 64, 3, 2
 #: Ids that are packed together; some hundreds of windows make the rounding negligible.
 BLOCK_IDS = 3_000_000
-#: A worker's table of words starts anew beyond so many; that bounds memory and changes no result.
-MAX_WORDS = 300_000
+#: Words, and pre-tokens, that a worker's tables hold at most; beyond that those go that were not met again. It changes no result.
+MAX_WORDS = 200_000
 
 #: Words of ASCII signs and of Latin letters that lower-case one by one, and their pre-tokens in lower case.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įĲ-ž]+")
+#: A full stop or comma that ends a word of such letters or digits is a pre-token of its own.
+_STOP = re.compile(rb"[.,](?:(?<=[a-z0-9].)|(?<=\xc3[\xa0-\xb6\xb8-\xbf].))(?![^ \t\n\x0b\x0c\r])")
 _PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _word_tables: dict[str, "WordIds"] = {}
 
@@ -39,8 +41,8 @@ _word_tables: dict[str, "WordIds"] = {}
 class WordIds:
     """Ids of words between ASCII white space, which this kind of tokenizer always splits at.
 
-    Each word is encoded once: words of plain letters, digits and signs from the ids of their pre-tokens, of which each
-    new one goes through the library once, many in one call; other words through the library as they are.
+    A word is encoded when it is new to the table: words of plain letters, digits and signs from the ids of their pre-tokens, of which
+    new ones go through the library, many in one call; other words through the library as they are.
     """
 
     def __init__(self, path: str, end_id: int, max_words: int = MAX_WORDS):
@@ -52,50 +54,89 @@ class WordIds:
         self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.closes[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         probe = ["a b", "a\tb", "a\n b", "a\r\x0b\x0cb"]
+        self.stops = self._encode("ab. cd, é. 1, e.") == self._encode("ab . cd , é . 1 , e .")
         self.by_word = all(self._encode(x) == self._encode("a") + self._encode("b") for x in probe)
         tries = ("it's", "A1b22", "d'un", "Ünd,", "_a_", "x---", "don't!'s", "#1's")
         self.lowers = self._encode("ABCXYZ Q") == self._encode("abcxyz q")
-        self.by_part = all(self._by_parts([x]) == [np.array(self._encode(x), "<u4").tobytes()] for x in self._reset(tries))
+        self.by_part = all(self._by_parts([x.lower()]) == [np.array(self._encode(x), "<u4").tobytes()] for x in self._reset(tries))
 
     def _reset(self, found=()):
         self.known = Numbers(1)
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.at, self.n = np.zeros(1, np.int64), np.ones(1, np.int64)  # word 0 is the end of a document
         self.ids = np.array([self.end_id], np.uint32)
+        self.met = np.zeros(1, np.int64)
         return found
 
-    def clear(self) -> None:
-        parts = self.parts if len(self.parts) < self.max_words else {}
-        self._reset()
-        self.parts = parts
+    def _forget(self) -> None:
+        """Keeps the words met more than once since the last time, half of what the table may hold at most, and renumbers them."""
+        keep = np.flatnonzero(self.met > 1)
+        keep = keep[keep > 0]
+        if len(keep) > self.max_words // 2:
+            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: self.max_words // 2]])
+        names = list(self.known)
+        self.known = Numbers(1)
+        self.known.update(zip([names[k - 1] for k in keep.tolist()], range(1, len(keep) + 1), strict=True))
+        keep = np.concatenate([[0], keep])
+        n = self.n[keep]
+        after = np.cumsum(n)
+        self.ids = self.ids[np.repeat(self.at[keep] - (after - n), n) + np.arange(after[-1])]
+        self.at, self.n, self.met = after - n, n, np.zeros(len(keep), np.int64)
 
     def _encode(self, text: str) -> list[int]:
         return self.encoder.encode(text, add_special_tokens=False).ids
 
-    def _by_parts(self, words: list[str]) -> list[bytes]:
-        """Ids of plain words, as bytes."""
-        cut = [_PRE_TOKENS.findall(w.lower()) for w in words]
-        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.parts))
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
-            ids = np.array(self._encode(" ".join(part)), "<u4")
+    def _many(self, parts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Ids of pre-tokens: some thousands of these, their ids one after the other, and where each one's end."""
+        for k in range(0, len(parts), 2000):
+            part = parts[k : k + 2000]
+            ids = np.array(self._encode(" ".join(part)), np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1  # the last id of a pre-token closes it
-            if len(ends) == len(part):
-                self.parts.update(zip(part, [ids[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist())], strict=True))
-            else:
-                self.parts.update((p, np.array(self._encode(p), "<u4").tobytes()) for p in part)
-        known = self.parts
+            if len(ends) != len(part):
+                each = [self._encode(p) for p in part]
+                ids, ends = np.array([i for x in each for i in x], np.uint32), np.cumsum([len(x) for x in each])
+            yield part, ids, ends
+
+    def _by_parts(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words in lower case, as bytes."""
+        if len(self.parts) > self.max_words // 4:
+            self.older, self.parts = self.parts, {}
+        known, older, new = self.parts, self.older, {}
+        cut = [_PRE_TOKENS.findall(w) for w in words]
+        for parts in cut:
+            for p in parts:
+                if p not in known:
+                    if p in older:
+                        known[p] = older[p]
+                    else:
+                        new[p] = None
+        for part, ids, ends in self._many(list(new)):
+            data, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+            known.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)]))
         return [b"".join([known[p] for p in parts]) for parts in cut]
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [bool(self.by_part and _PLAIN.fullmatch(x) and "<|" not in x) for x in texts]
-        quick = iter(self._by_parts([x for x, ok in zip(texts, plain, strict=True) if ok]))
-        each = [next(quick) if ok else np.array(self._encode(x), "<u4").tobytes() for x, ok in zip(texts, plain, strict=True)]
-        n = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
-        self.n = np.concatenate([self.n, n])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(each), "<u4")])
+        one, several, odd = [], [], []
+        for k, x in enumerate(texts):
+            plain = self.by_part and _PLAIN.fullmatch(x) and "<|" not in x
+            (odd if not plain else one if x.isalpha() else several).append(k)
+        at, n, added, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], len(self.ids)
+        done = 0
+        for part, ids, ends in self._many([texts[k].lower() for k in one]):
+            who = one[done : done + len(part)]
+            n[who] = np.diff(ends, prepend=0)
+            at[who] = size + ends - n[who]
+            added.append(ids)
+            size, done = size + len(ids), done + len(part)
+        each = [np.frombuffer(x, "<u4") for x in self._by_parts([texts[k].lower() for k in several])]
+        each += [np.array(self._encode(texts[k]), np.uint32) for k in odd]
+        for k, ids in zip(several + odd, each, strict=True):
+            n[k], at[k], size = len(ids), size, size + len(ids)
+        self.at, self.n = np.concatenate([self.at, at]), np.concatenate([self.n, n])
+        self.ids = np.concatenate([self.ids, *added, *each]).astype(np.uint32, copy=False)
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.int64)])
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end id, and how many each text has."""
@@ -103,11 +144,13 @@ class WordIds:
             each = [self._encode((x or b"").decode("utf-8", "replace")) + [self.end_id] for x in texts]
             return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
         if len(self.known) > self.max_words:
-            self.clear()
+            self._forget()
         words, counts = [], []
         for x in texts:
             if x and self.lowers and b"<|" not in x:  # special tokens are matched before lower-casing
                 x = x.lower()
+                if self.stops:
+                    x = _STOP.sub(rb" \g<0>", x)
             own = x.split() if x else []  # bytes: ASCII letters and white space only
             words += own
             counts.append(len(own))
@@ -115,6 +158,7 @@ class WordIds:
         if self.known.new:
             self._learn(self.known.new)
             self.known.new = []
+        self.met += np.bincount(found, minlength=len(self.met))
         ends = np.cumsum(np.array(counts, np.int64))
         index = np.insert(found, ends, 0)
         n = self.n[index]
@@ -287,9 +331,10 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and the ids themselves on request.
 
-    A document's ids are those of its whole text followed by end_id; a null or empty text has the end id alone. Rows with a
-    null or repeated doc_id are packed like any others. Other columns are not read. sequence_id is unique over the result,
-    with gaps: the task's number, the number of its block and of the sequence in that.
+    A document's ids are those of its whole text followed by end_id; a null or empty text has the end id alone, and a very
+    long one is cut into many pieces. Rows with a null or repeated doc_id are packed like any others. Lengths that fit
+    equally well are taken in the order of the rows. Other columns are not read. sequence_id is unique over the result, with gaps:
+    the task's number, the number of its block and of the sequence in that.
     """
     if window & (window - 1) or window % unit:
         raise ValueError("window must be a power of two and a multiple of unit")
@@ -311,11 +356,16 @@ def pack_documents(
             name = (task << 40) + (block << 24) + sequence
             columns = [key, start, length, np.array(crc, np.int64), n[document], name, offset]
             columns = [x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns]
-            if with_ids:
-                columns.append(pa.array([small[a:b] for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)], pa.list_(pa.int64())))
-            whole = pa.RecordBatch.from_arrays(columns, names)
-            for k in range(0, len(name), 20_000):
-                yield whole.slice(k, 20_000)
+            ends = np.cumsum(length)
+            k = 0
+            while k < len(name):  # rows with about a million ids
+                to = max(k + 1, int(np.searchsorted(ends, ends[k] - length[k] + (1 << 20))))
+                part = [x[k:to] for x in columns]
+                if with_ids:
+                    own = np.repeat(first[k:to] - (ends[k:to] - length[k:to] - (ends[k] - length[k])), length[k:to]) + np.arange(ends[to - 1] - ends[k] + length[k])
+                    part.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[k:to] - ends[k] + length[k]]), pa.int32()), pa.array(small[own].astype(np.int32), pa.int32())))
+                yield pa.RecordBatch.from_arrays(part, names)
+                k = to
 
         keys, ids, counts, held = [], [], [], 0
         for batch in small_batches(batches, "text", 2 << 20):
@@ -329,8 +379,7 @@ def pack_documents(
                 keys, ids, counts, held, block = [], [], [], 0, block + 1
         if keys:
             yield from packed(keys, np.concatenate(ids), np.concatenate(counts))
-        release_memory()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names[1:7]) + ", ids array<long>" * with_ids)
+    return rows.mapInArrow(releasing(run), f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names[1:7]) + ", ids array<int>" * with_ids)

@@ -1,9 +1,10 @@
 """Personal data in whole texts, by anchor expansion.
 
-One Aho-Corasick pass finds anchors: at-signs, scheme marks and the short digit pairs that every address, account or
-phone number holds. From an anchor a deterministic parser expands to the bounds of the characters its kind may hold and
-validates what is there. An expansion never looks beyond those bounds, so a text is read once plus the regions around its
-anchors, each of them once. Everything happens in the scan's own tasks: no shuffle, no state.
+One Aho-Corasick pass finds anchors: at-signs, scheme marks, the short digit pairs that every address, card or phone
+number holds, and cue words for identifiers (IBAN, account, card, phone, SSN). From an anchor a deterministic parser
+expands to the bounds of the characters its kind may hold and validates what is there. An expansion never looks beyond
+those bounds, so a text is read once plus the regions around its anchors, each of them once. Everything happens in the
+scan's own tasks: no shuffle, no state.
 
 Base spans are the results of these patterns, leftmost and without overlaps per kind, failing matches dropped:
 email, ip (parts up to 255), card (16 to 19 digits, Luhn), phone (8 to 15 digits). The parsers add to them what such a
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import small_batches
+from recallspark.llm.common import releasing, small_batches
 
-KINDS = ("email", "ip", "card", "phone", "userinfo")
+KINDS = ("email", "ip", "card", "phone", "userinfo", "iban", "account", "ssn")
 BASE = KINDS[:4]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,6 +38,20 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"[^\s/?#\"'<>\\]*")
 _GROUPS = re.compile(r"(?<![0-9])(?:[0-9]{16,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])")
 _NOT_DIGITS = re.compile(r"[^0-9]")
+#: Cue words by what they announce; each also with a capital first letter and in capitals.
+CUES = {
+    "iban": ("iban",),
+    "account": ("account", "acct", "konto", "kontonummer", "compte", "cuenta"),
+    "card": ("card", "visa", "mastercard", "amex"),
+    "phone": ("phone", "telephone", "tel", "mobile", "fax", "telefon", "teléfono"),
+    "ssn": ("ssn",),
+}
+#: What may stand between a cue and its number.
+_LEAD = re.compile(r"(?:[\s:#.=]|(?i:number|nummer|numero|número|num|no|nr|is)\b){0,8}")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30}")
+_NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])*")
+_LOCAL_PHONE = re.compile(r"\(?[0-9][0-9 ().-]*[0-9]")
+_SSN = re.compile(r"[0-9]{3}([ -]?)[0-9]{2}\1[0-9]{4}(?![0-9])")
 
 
 @lru_cache(1)
@@ -53,6 +68,10 @@ def _anchors():
                 found.add_word(f"{a}{mark}{b}", ("card", 0))
     found.add_word("@", ("email", 0))
     found.add_word("://", ("userinfo", 0))
+    for kind, words in CUES.items():
+        for w in words:
+            for x in (w, w.capitalize(), w.upper()):
+                found.add_word(x, (f"cue {kind}", len(x) - 1))
     found.make_automaton()
     return found
 
@@ -84,6 +103,10 @@ def find_spans(text: str | None) -> tuple[Spans, Spans]:
     done = dict.fromkeys(KINDS, 0)
     for end, (kind, back) in _anchors().iter(text):
         at = end - back
+        if kind[:4] == "cue ":
+            if not (at and text[at - 1].isalnum()) and not text[end + 1 : end + 2].isalnum() and (span := _announced(kind[4:], text, end + 1)) and span not in added[kind[4:]]:
+                added[kind[4:]].append(span)
+            continue
         if at < done[kind]:
             continue
         if kind == "card":
@@ -121,6 +144,30 @@ def find_spans(text: str | None) -> tuple[Spans, Spans]:
     return base, added
 
 
+def _announced(kind: str, text: str, at: int) -> tuple[int, int] | None:
+    """The number of this kind that a cue before at announces."""
+    at = _LEAD.match(text, at).end()
+    if kind == "iban":
+        return _iban(text, at)
+    m = (_LOCAL_PHONE if kind == "phone" else _SSN if kind == "ssn" else _NUMBER).match(text, at)
+    if not m:
+        return None
+    digits = _NOT_DIGITS.sub("", m[0])
+    least, most = {"account": (6, 17), "card": (13, 15), "phone": (7, 15), "ssn": (9, 9)}[kind]
+    return m.span() if least <= len(digits) <= most and (kind != "card" or luhn(digits)) else None
+
+
+def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """The longest start of what stands here that is an IBAN by its check digits."""
+    if not (m := _IBAN.match(text, at)):
+        return None
+    for stop in range(m.end(), at + 14, -1):
+        x = text[at:stop].replace(" ", "").replace("-", "")
+        if text[stop - 1] not in " -" and not text[stop : stop + 1].isalnum() and len(x) >= 15 and int("".join([str(int(c, 36)) for c in x[4:] + x[:4]])) % 97 == 1:
+            return at, stop
+    return None
+
+
 def _cards(text: str, at: int, stop: int) -> list[tuple[int, int]]:
     """Cards in a run of groups of digits: the first that passes Luhn, from any group on, then those after it."""
     found = []
@@ -171,7 +218,8 @@ def _joined(spans: Spans, kinds: tuple[str, ...]) -> str:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) for each row: the counts of base spans, and base and all spans as kind:start:end by kind, then start.
 
-    A null or empty text has no spans. A null doc_id stays null; repeated rows are repeated; other columns are not read.
+    A null or empty text has no spans; a very long one is read whole. Spans of one kind do not overlap but for added ones.
+    A null doc_id stays null; repeated rows are repeated; other columns are not read.
     """
     counts = [f"n_{k}" for k in BASE]
 
@@ -184,11 +232,16 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *counts, "base", "spans"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, " + "".join(f"{c} long, " for c in counts) + "base string, spans string")
+    return rows.mapInArrow(releasing(run), f"doc_id {dict(rows.dtypes)['doc_id']}, " + "".join(f"{c} long, " for c in counts) + "base string, spans string")
 
 
 def redact_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every span of its texts replaced by its kind; all columns are kept, a null text stays null."""
+    """docs with every span of its texts replaced by its kind.
+
+    Spans that overlap are replaced as one, by the kind of the first (of those that begin together, the shortest). All
+    columns are kept, whatever their names; a null text stays null, an empty one empty; a very long text is read whole;
+    repeated rows are repeated.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,4 +249,4 @@ def redact_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [x and redacted(x, all_spans(x)) for x in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at).name, pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -19,7 +19,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = secrets.BlobLedger(spark, fresh_path(spark, "secret-ledger"))
     ledger.scan(docs, "doc_id")
     found = ledger.report(docs, "doc_id")
-    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,21 +11,26 @@ engine broadcasts them under its own size limit and no text moves at all.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallspark.llm.common import salted_join
+
 
 @dataclass(frozen=True)
 class Rule:
-    """kind and version name the rule; pattern finds matches, leftmost and without overlaps; a match whose group is shorter than least characters is dropped."""
+    """kind and version name the rule; pattern finds matches, leftmost and without overlaps; a match whose group is shorter
+    than least characters is dropped. base rules are the scan's contract; the others add to it."""
 
     kind: str
     version: int
     pattern: str
     group: int = 0
     least: int = 0
+    base: bool = False
 
     @property
     def name(self) -> str:
@@ -35,38 +40,70 @@ class Rule:
 #: In the order in which kinds are listed. A run of the characters of access or hex that is too short can't hold a match
 #: of sufficient length, so their least length is part of the pattern; assign drops after matching, as a short match hides what it covers.
 RULES = (
-    Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", 1, r"AKIA[A-Z0-9]{16,}"),
-    Rule("hex", 1, r"[0-9a-f]{24,}"),
+    Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
+    Rule("access", 1, r"AKIA[A-Z0-9]{16,}", base=True),
+    Rule("hex", 1, r"[0-9a-f]{24,}", base=True),
+    Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*-----END [A-Z ]*PRIVATE KEY-----"),
+    Rule("known_token", 1, r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,})"),
+    Rule("signed_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
-_LEDGER = "blob string, rule string, spans array<struct<start:long,end:long>>"
+_SPANS = "array<struct<start:long,end:long>>"
+_LEDGER = f"blob string, found array<struct<rule:string,spans:{_SPANS}>>"
+#: Matches whose lengths are summed up at once.
+_PART = 64
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), where value is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of an array (a variable), part by part: work in proportion to its length times _PART, and no shuffle."""
+    zero = F.lit(0).cast("bigint")
+    nothing = lambda start: F.struct(start.alias("total"), F.array().cast("array<bigint>").alias("sums"))
+    last = F.floor((F.size(lengths) - 1) / _PART).cast("int")
+
+    def sums(parts: Column) -> Column:
+        whole = F.transform(parts, lambda p: F.aggregate(p, zero, lambda s, x: s + x))
+        starts = F.aggregate(whole, nothing(zero), lambda s, x: F.struct((s["total"] + x).alias("total"), F.concat(s["sums"], F.array(s["total"])).alias("sums")))["sums"]
+        ends = lambda p, start: F.aggregate(p, nothing(start), lambda s, x: F.struct((s["total"] + x).alias("total"), F.concat(s["sums"], F.array(s["total"] + x)).alias("sums")))["sums"]
+        return F.flatten(F.zip_with(parts, starts, ends))
 
+    return _let(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(lengths, i * _PART + 1, _PART)), sums)
 
-def _matches(text: Column, rule: Rule) -> Column:
-    """For each match: the characters between it and the one before, its own, and whether it counts."""
-    pattern = F.lit(rule.pattern)
-    whole, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern, -1)
-    judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.least else whole
-    each = F.zip_with(F.zip_with(between, whole, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"))), judged,
-                      lambda x, j: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), (F.length(j) >= rule.least).alias("counts")))
-    # the text after the last match has no match of its own
-    return F.when(text.rlike(rule.pattern), F.filter(each, lambda x: x["n"].isNotNull()))
+
+def spans_of(text: Column, rule: Rule) -> Column:
+    """The spans of a rule in a text, in order; positions are characters, and end is exclusive."""
+    length = lambda x: F.length(x).cast("bigint")
+
+    def spans(x: Column) -> Column:
+        # the text after the last match has no match of its own
+        lengths = F.zip_with(F.slice(x["between"], 1, F.size(x["whole"])), x["whole"], lambda g, m: length(g) + length(m))
+        each = F.zip_with(_let(lengths, _running), x["whole"], lambda end, m: F.struct((end - length(m)).alias("start"), end.alias("end")))
+        if not rule.least:
+            return each
+        judged = F.zip_with(each, x["judged"], lambda s, j: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.length(j).alias("n")))
+        return F.transform(F.filter(judged, lambda s: s["n"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    parts = [F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("whole"), F.split(text, rule.pattern, -1).alias("between")]
+    parts += [F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("judged")] if rule.least else []
+    return F.when(text.rlike(rule.pattern), _let(F.struct(*parts), spans)).otherwise(F.array().cast(_SPANS))
 
 
 def find_spans(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rule, spans) for each row of blobs (blob, text, todo: names of the rules to apply) and each of its rules, spans in order."""
-    found = F.array(*(F.when(F.array_contains("todo", r.name), F.struct(F.lit(r.name).alias("rule"), _matches(F.col("text"), r).alias("matches"))) for r in rules))
-    each = blobs.select("blob", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("found")).select("blob", "found.*")
-    each = each.select("blob", "rule", F.posexplode_outer("matches").alias("pos", "m"))
-    before = Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum((F.col("m.gap") + F.col("m.n")).cast("long")).over(before)
-    spans = each.withColumn("end", end).select("blob", "rule", F.when(F.col("m.counts"), F.struct((F.col("end") - F.col("m.n")).alias("start"), "end")).alias("span"))
-    return spans.groupBy("blob", "rule").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    """(blob, found) for each row of blobs (blob, text, todo: names of the rules to apply): the spans of each of its rules."""
+    found = F.array(*(F.when(F.array_contains("todo", r.name), F.struct(F.lit(r.name).alias("rule"), spans_of(F.col("text"), r).alias("spans"))) for r in rules))
+    return blobs.select("blob", F.filter(found, lambda x: x.isNotNull()).alias("found"))
 
 
 class BlobLedger:
-    """A ledger at a path that all executors reach. Batches are Parquet folders, and one that a failed job left unfinished is not read."""
+    """A ledger at a path that all executors reach.
+
+    Batches are Parquet folders with names of their own, so a batch that a failed job left unfinished is in nobody's way
+    and is not read, and scans at the same time do not collide; what two of them find twice is one finding.
+    """
 
     def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES):
         self.spark, self.path, self.rules = spark, path.rstrip("/"), rules
@@ -82,6 +119,7 @@ class BlobLedger:
         return sorted(n for n in names if n.startswith("batch-") and done(n))
 
     def entries(self) -> DataFrame:
+        """(blob, found): a row for each blob of each batch."""
         batches = self._batches()
         if not batches:
             return self.spark.createDataFrame([], _LEDGER)
@@ -98,40 +136,48 @@ class BlobLedger:
         rules = F.array(*(F.lit(r.name) for r in self.rules))
         if not self._batches():
             return blobs.withColumn("todo", rules)
-        seen = self.entries().groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        seen = self.entries().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found.rule"))).alias("seen"))
         todo = F.when(F.col("seen").isNull(), rules).otherwise(F.array_except(rules, F.col("seen")))
         return blobs.join(seen, "blob", "left").select("blob", "path", todo.alias("todo")).where(F.size("todo") > 0)
 
     def scan(self, docs: DataFrame, path_col: str = "path", text_col: str = "text") -> None:
-        """Scans what is unseen in docs, a row for each version, and adds a batch with the findings."""
+        """Scans what is unseen in docs, a row for each version, and adds a batch with the findings.
+
+        A null text is an empty one; versions with equal texts, and repeated rows, are one blob; of its versions the one
+        with the smallest path is read. A very long text is one row of one task.
+        """
         versions = self.versions(docs, path_col, text_col)
         todo = self.unseen(versions).select(F.col("blob").alias("new"), F.col("path").alias("at"), "todo")
         # the null path, if it stands for a blob, is a value like others here
         texts = versions.join(todo, (F.col("blob") == F.col("new")) & F.col("path").eqNullSafe(F.col("at"))).select("blob", "text", "todo")
-        found = find_spans(texts, self.rules).groupBy("blob", "rule").agg(F.first("spans").alias("spans"))
-        found.write.mode("errorifexists").parquet(f"{self.path}/batch-{len(self._batches()):06d}")
+        # a row that is repeated was read twice, with one finding
+        found = find_spans(texts, self.rules).groupBy("blob").agg(F.first("found").alias("found"))
+        found.write.mode("errorifexists").parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
+
+    def _current(self) -> DataFrame:
+        """(blob, kind, rank, base, start, end): the spans found by the rules' current versions, each once."""
+        rule = F.col("f.rule")
+        of = lambda value: F.create_map(*(F.lit(x) for k, r in enumerate(self.rules) for x in (r.name, value(k, r))))[rule]
+        each = self.entries().select("blob", F.explode("found").alias("f")).where(rule.isin(*(r.name for r in self.rules)) & (F.size("f.spans") > 0))
+        each = each.select("blob", of(lambda _, r: r.kind).alias("kind"), of(lambda k, _: k).alias("rank"), of(lambda _, r: r.base).alias("base"), F.explode("f.spans").alias("s"))
+        return each.select("blob", "kind", "rank", "base", "s.start", "s.end").distinct()
 
     def findings(self, docs: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-        """(path, kind, start, end): the spans of all versions of docs by the rules' current versions, for every path that holds the blob."""
-        names = {r.name: r.kind for r in self.rules}
-        kind = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("rule")]
-        found = self.entries().where(F.col("rule").isin(*names) & (F.size("spans") > 0)).select("blob", kind.alias("kind"), F.explode("spans").alias("span"))
+        """(path, kind, start, end): the spans of all versions of docs by the rules' current versions, for every path that holds the blob. Repeated rows are repeated."""
+        spans = self._current().groupBy("blob").agg(F.collect_list(F.struct("kind", "start", "end")).alias("all"))
         versions = self.versions(docs, path_col, text_col).select("path", "blob")
-        return versions.hint("merge").join(found, "blob").select("path", "kind", "span.start", "span.end")
+        return salted_join(versions, spans, "blob").select("path", F.inline("all"))
 
     def report(self, docs: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-        """(path, n_<kind>..., spans): a row for each row of docs; spans lists kind:start:end by start, then kind as listed.
+        """(path, n_<kind> of the base rules..., base, spans): a row for each row of docs; base and spans list kind:start:end by start, then kind as listed.
 
         A null or empty text has no spans; null and repeated paths are kept as they are; other columns are not read.
         """
-        order = F.create_map(*(F.lit(x) for k, r in enumerate(self.rules) for x in (r.name, k)))[F.col("rule")]
-        kinds = F.array(*(F.lit(r.kind) for r in self.rules))
-        one = self.entries().where(F.col("rule").isin(*(r.name for r in self.rules)) & (F.size("spans") > 0))
-        rows = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank"), s["end"].alias("end")))
-        one = one.withColumn("rank", order).select("blob", "rank", F.size("spans").cast("long").alias("n"), rows.alias("rows"))
-        counts = [F.coalesce(F.sum(F.when(F.col("rank") == k, F.col("n"))), F.lit(0).cast("long")).alias(f"n_{r.kind}") for k, r in enumerate(self.rules)]
-        text = F.transform(F.array_sort(F.flatten(F.collect_list("rows"))), lambda x: F.concat_ws(":", F.element_at(kinds, x["rank"] + 1), x["start"], x["end"]))
-        found = one.groupBy("blob").agg(*counts, F.array_join(text, ",").alias("spans"))
+        base = [r for r in self.rules if r.base]
+        counts = [F.count_if(F.col("kind") == r.kind).alias(f"n_{r.kind}") for r in base]
+        row = F.struct("start", "rank", "end", "kind")
+        listed = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+        found = self._current().groupBy("blob").agg(*counts, listed(F.collect_list(F.when(F.col("base"), row))).alias("base"), listed(F.collect_list(row)).alias("spans"))
         versions = self.versions(docs, path_col, text_col).select("path", "blob")
-        filled = [F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in self.rules]
-        return versions.hint("merge").join(found, "blob", "left").select("path", *filled, F.coalesce("spans", F.lit("")).alias("spans"))
+        filled = [F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in base]
+        return salted_join(versions, found, "blob", "left").select("path", *filled, *(F.coalesce(c, F.lit("")).alias(c) for c in ("base", "spans")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import connected_components, durable, small_batches
+from recallspark.llm.common import Scratch, connected_components, releasing, small_batches
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 _SHIFTS, _WIDTHS = (0, 22, 43), (22, 21, 21)
@@ -42,10 +42,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.concatenate([[0], ends[:-shingle]])
         hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    return _majority(np.array(hashes, np.uint64))
+    return majority(np.array(hashes, np.uint64))
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
+    """The number each of whose 64 bits is set if it is in more than half of the hashes."""
     count = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -106,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return rows.mapInArrow(releasing(run), f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -128,12 +129,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp, component_id) for each row: component_id is the smallest doc_id reachable by links, the row's own included.
 
     Null ids take part with their texts but never name a component (null if a component has no other id). Null and empty
-    texts share the fingerprint 0. Repeated rows are repeated. Other columns are not read.
+    texts share the fingerprint 0. A very long text has one fingerprint like any other; a bit set in just half of the
+    shingles (a tie) is 0. Repeated rows are repeated. Other columns are not read.
     """
-    rows = durable(fingerprints(docs, id_col, text_col, shingle))
-    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    near = connected_components(links(distinct))
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = scratch.keep(fingerprints(docs, id_col, text_col, shingle))
+    distinct = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    near = connected_components(scratch, links(distinct))
     grouped = distinct.join(near.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = scratch.keep(grouped)
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = durable(grouped.join(least, "component").select("fp", "component_id"))
+    named = scratch.keep(grouped.join(least, "component").select("fp", "component_id"), grouped, distinct)
     return rows.hint("merge").join(named, "fp").select("doc_id", "fp", "component_id")

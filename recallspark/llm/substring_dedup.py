@@ -1,15 +1,16 @@
 """Exact removal of passages that repeat from documents with smaller ids, with a count-min prefilter.
 
-A window is so many consecutive words of one document. Documents are dealt out once, by a hash of the id, to buckets of a
-few MB; the passes below all read that one exchange of the texts, so it is shuffled once.
+A window is so many consecutive words of one document. Documents are dealt out once, by a hash of id and text, to buckets of
+a few MB; the passes below all read that one exchange of the texts, so it is shuffled once.
 
 1. Each bucket makes a count-min sketch of its windows: for each row of the sketch the cells its windows fall in, counting
    documents up to 2. The sketch is as wide as the input asks for (LOAD windows a cell), sparse, sorted, and cut into blocks of
    cells; a block of all buckets' sketches is merged in one task, which tells each bucket which of its cells count 2 or
    more. Nothing is broadcast and nothing saturates: width, blocks and buckets grow with the input.
 2. The least count over the rows never falls below the true count, so windows in several documents are never lost. Each
-   bucket sends only the windows estimated repeated, with 128-bit hashes of their words and its smallest id for each. They are grouped exactly; a
-   bucket gets back the windows that start in a smaller document, and drops the words that these cover.
+   bucket sends only the windows estimated repeated, with 128-bit hashes of their words and its smallest id for each. They
+   are grouped exactly (a window has a row for each bucket at most, however many documents hold it); a bucket gets back
+   the windows that start in a smaller document, and drops the words that these cover.
 
 Documents that equal one with a smaller id as a whole send no windows: all of theirs repeat. Two different windows are
 taken for one only if two independent 64-bit hashes agree.
@@ -28,82 +29,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from recallspark.llm.common import durable, text_bytes
+from recallspark.llm.common import Scratch, release_memory, salted_join, text_bytes
+from recallspark.llm.words import mix, run_hashes, word_hashes, words_at
 
 WINDOW = 13
-BUCKET_BYTES, BLOCK_WINDOWS = 4 << 20, 2_000_000
+BUCKET_BYTES, BLOCK_WINDOWS = 4 << 20, 4_000_000
 #: Rows of the sketch and windows a cell: about (1 - exp(-LOAD)) ** DEPTH of the windows that occur once are estimated repeated.
 DEPTH, LOAD = 2, 0.25
 #: Bytes a word takes on average at least, to size the sketch.
 WORD_BYTES = 6
 
 _U = np.uint64
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
-_STEP = 1 << 20
-
-
-def _odd(seed: int) -> tuple[np.uint64, np.uint64]:
-    p = (seed * 2 + 1) * 0x9E3779B97F4A7C15 * 4 + 5 & (1 << 64) - 1
-    return _U(p), _U(pow(p, -1, 1 << 64))
-
-
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def _power(seed: int, n: int, inverse: bool = False) -> np.ndarray:
-    """The powers 0 to n - 1 of an odd number, or of its inverse, mod 2 ** 64."""
-    found = _powers.get((seed, inverse))
-    if found is None or len(found) < n:
-        found = np.full(max(n, _STEP + 1), _odd(seed)[inverse], _U)
-        found[0] = 1
-        np.cumprod(found, out=found)
-        if len(found) <= 8 * _STEP:
-            _powers[seed, inverse] = found
-    return found[:n]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> _U(30))
-    x *= _U(0xBF58476D1CE4E5B9)
-    x ^= x >> _U(27)
-    x *= _U(0x94D049BB133111EB)
-    x ^= x >> _U(31)
-    return x
-
-
-_letters = [_mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(s)) for s in (11, 77)]
-
-
-def words_at(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words of texts start and end in their bytes, and the text of each."""
-    if not len(data):
-        return (np.zeros(0, np.int64),) * 3
-    inside = ~_WHITE[data]
-    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    before[offsets[:-1][offsets[:-1] < len(data)]] = False
-    after[offsets[1:][offsets[1:] > 0] - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
-
-
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """Polynomial hashes of values[start:end], from one running sum."""
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * _power(seed, len(values)), out=sums[1:])
-    return (sums[ends] - sums[starts]) * _power(seed, len(values) + 1, True)[starts]
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """64-bit hashes of words, in steps of about a MB of text."""
-    out, k = np.zeros(len(starts), _U), 0
-    while k < len(starts):
-        to = max(k + 1, int(np.searchsorted(ends, starts[k] + _STEP, side="right")))
-        a, b = starts[k], ends[to - 1]
-        out[k:to] = _mix(_spans(_letters[which][data[a:b]], starts[k:to] - a, ends[k:to] - a, which) + (ends[k:to] - starts[k:to]).astype(_U))
-        k = to
-    return out
 
 
 class Windows:
@@ -122,18 +58,12 @@ class Windows:
     def _hashes(self, which: int, size: int) -> np.ndarray:
         if not len(self.first):
             return np.zeros(0, _U)
-        words = word_hashes(self.data, self.starts, self.ends, which)
-        out, step = np.zeros(len(self.first), _U), _STEP
-        for k in range(0, len(self.first), step):
-            at = self.first[k : k + step]
-            a, b = at[0], at[-1] + size
-            out[k : k + step] = _mix(_spans(words[a:b], at - a, at - a + size, 2 + which))
-        return out
+        return run_hashes(word_hashes(self.data, self.starts, self.ends, which), self.first, size, which)
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     """The cell of each hash in a row of the sketch."""
-    return _mix(hashes + _U(row) * _U(0xD1342543DE82EF95)) >> _U(64 - bits)
+    return mix(hashes + _U(row) * _U(0xD1342543DE82EF95)) >> _U(64 - bits)
 
 
 def encode_cells(cells: np.ndarray) -> bytes:
@@ -148,7 +78,7 @@ def decode_cells(data: bytes) -> np.ndarray:
     import zstandard
 
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
 def sketch_row(hashes: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +129,9 @@ def drop_repeats(
     """docs with the columns n_words, n_removed and kept_text (after prefix); columns of these names are replaced.
 
     kept_text has the words that no repeated window covers, joined by single spaces. Ids are integers. A null text has no
-    words; a null id neither repeats others nor is repeated; rows with the same id do not repeat each other. Row order is free.
+    words; a null id neither repeats others nor is repeated; rows with the same id do not repeat each other, whether their
+    texts are equal (a repeated row) or not. Of documents that hold a window the smallest id keeps it, so there are no
+    ties. A very long text is one document in one bucket. Row order is free.
     """
     names = [f"{prefix}{x}" for x in ("n_words", "n_removed", "kept_text")]
     docs = docs.drop(*names)
@@ -208,20 +140,23 @@ def drop_repeats(
     home = "__bucket" + "_" * max(map(len, columns))  # no other column has this name
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    brief = durable(docs.select(F.col(id_col).cast("long").alias("doc"), F.sha2(text, 256).alias("same"), F.octet_length(text).alias("n")))
+    place = F.xxhash64(F.col(id_col).cast("long"), text)  # neither an id nor a text that many rows have falls in one bucket
+    scratch = Scratch(docs.sparkSession, "substring-dedup")
+    brief = scratch.keep(docs.select(F.col(id_col).cast("long").alias("doc"), place.alias("place"), F.unhex(F.sha2(text, 256)).alias("same"), F.octet_length(text).alias("n")))
     total = brief.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     bits = max(8, math.ceil(math.log2(max(2, total / WORD_BYTES / load))))
     low_bits = min(bits, max(8, math.ceil(math.log2(block_windows / load))))  # cells in a block
 
-    bucket = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(buckets)).cast("int")
+    bucket = F.pmod(place, F.lit(buckets)).cast("int")
     dealt = docs.select(bucket.alias(home), *(F.col(f"`{c}`") for c in columns))
 
-    repeated = brief.where("doc is not null").groupBy("same").agg(F.min("doc").alias("least"), F.count("*").alias("times")).where("times > 1")
-    copies = brief.hint("merge").join(repeated, "same").where("doc > least").select("doc", "same").distinct()
+    known = brief.where("doc is not null").select("doc", "place", "same")
+    repeated = known.groupBy("same").agg(F.min("doc").alias("least"), F.count("*").alias("times")).where("times > 1").drop("times")
+    copies = salted_join(known, repeated, "same").where("doc > least")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("h1", "long"), ("h2", "long"), ("least", "long"))]
-    owner = F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int").alias("bucket")
-    flags = durable(copies.select(owner, F.lit(-1).alias("part"), F.lit(0).alias("layer"), F.unhex("same").alias("data"), *nothing, "doc"))
+    owner = F.pmod("place", F.lit(buckets)).cast("int").alias("bucket")
+    flags = scratch.keep(copies.select(owner, F.lit(-1).alias("part"), F.lit(0).alias("layer"), F.col("same").alias("data"), *nothing, "doc").distinct(), brief)
 
     def _ids(own: pa.Table) -> np.ndarray:
         return _column(own, columns[at_id]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -241,6 +176,7 @@ def drop_repeats(
                     row = (name, int(part[a]), layer, encode_cells((cells[a:b] & _U((1 << low_bits) - 1)).astype(np.int64)), np.packbits(several[a:b]).tobytes() if several[a:b].any() else None)
                     for k, x in zip(out, row, strict=True):
                         out[k].append(x)
+        release_memory()
         return pa.table({k: pa.array(v, pa.int32() if k in ("bucket", "part", "layer") else pa.binary()) for k, v in out.items()})
 
     def merge(table: pa.Table) -> pa.Table:
@@ -256,8 +192,9 @@ def drop_repeats(
             mask = count[cells] > 1
             masks.append(np.packbits(mask).tobytes() if mask.any() else None)
         keep = pa.array([m is not None for m in masks])
-        n = table.num_rows
-        nulls = pa.nulls(n, pa.int64())
+        del each, count
+        release_memory()
+        nulls = pa.nulls(table.num_rows, pa.int64())
         out = [table.column("bucket"), table.column("part"), table.column("layer"), pa.array(masks, pa.binary()), nulls, nulls, nulls, nulls]
         return pa.table(out, names=["bucket", "part", "layer", "data", "h1", "h2", "least", "doc"]).filter(keep)
 
@@ -286,6 +223,8 @@ def drop_repeats(
         at = np.flatnonzero(new)
         last = np.append(at[1:], len(h1)) - 1 if len(at) else at
         name = own.column(home)[0].as_py()
+        del w
+        release_memory()
         return pa.table({"bucket": pa.array(np.full(len(at), name), pa.int32()), "h1": h1[at], "h2": h2[at], "low": doc[at], "high": doc[last]})
 
     def keep(_, own: pa.Table, side: pa.Table) -> pa.Table:
@@ -329,6 +268,8 @@ def drop_repeats(
         out = own.select([c for c in own.column_names if c != home])
         for name, x in zip(names, (pa.array(n_words, pa.int64()), pa.array(n_gone), pa.array(texts, pa.binary()).cast(pa.string())), strict=True):
             out = out.append_column(name, x)
+        del w, texts, data
+        release_memory()
         return out
 
     def by_bucket(side: DataFrame):

@@ -8,7 +8,8 @@ bounds its search: by the triangle inequality an annulus holds no score above a
 the pivot and the two radii, so only annuli whose bound reaches the least score are visited. Queries travel in chunks
 to blocks by an equi-join on the block; a visit is one matrix product.
 
-The list of annuli is bounded (MAX_BLOCKS, beyond which annuli grow), so the driver and the tasks may hold it.
+The list of annuli is bounded (ANNULI, beyond which they grow), so the driver and the tasks may hold it; an annulus is
+stored in rows of BLOCK vectors each, whatever its size, and these are visited by tasks of their own.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import durable
+from recallspark.llm.common import Scratch, releasing
 from recallspark.llm.vectors import dimensions, matrix, sample, usable
 
 TOP, EVERY, SCALE = 5, 50, 256
-PIVOTS, BLOCK, MAX_BLOCKS, CHUNK = 32, 2048, 32768, 512
+PIVOTS, BLOCK, ANNULI, CHUNK = 32, 2048, 32768, 512
+#: Bounds of queries by annuli that a worker computes at once.
+CELLS = 1 << 21
 
 _BLOCK = "block long, pivot int, low double, high double, n int, ids binary, vectors binary"
 _VISIT = "block long, query_ids binary, query_vectors binary"
@@ -81,14 +84,15 @@ def search(
 
     Components become floor(scale * x). Rows with a null id, and vectors that are null, empty or hold null or non-finite
     components (also after scaling), take no part; vectors of different lengths do not meet. A row that is repeated is a
-    candidate each time and a query once; rows with the query's own id are no candidates. Other columns are not read.
+    candidate each time and a query once; rows with the query's own id are no candidates; equal scores are in order of
+    the smaller id. Other columns are not read.
     """
     whole = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x * F.lit(float(scale)))  # floor comes with the matrices
     every_row = rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
     fine = every_row.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    found = None
+    scratch, found = Scratch(rows.sparkSession, "topk"), None
     for n in dimensions(fine, "v"):
-        one = _search(fine.where(F.size("v") == n), k, every, pivots, block, chunk)
+        one = _search(scratch, fine.where(F.size("v") == n), k, every, pivots, block, chunk)
         found = one if found is None else found.union(one)
     if found is None:
         found = fine.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score"))
@@ -97,7 +101,7 @@ def search(
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _search(fine: DataFrame, k: int, every: int, n_pivots: int, block: int, chunk: int) -> DataFrame:
+def _search(scratch: Scratch, fine: DataFrame, k: int, every: int, n_pivots: int, block: int, chunk: int) -> DataFrame:
     most = float(fine.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(F.abs(x) + 1, F.lit(2.0))))).first()[0])
     huge = not most < 1e280  # no squares in double precision: one pivot, and every annulus is visited
     points = np.zeros((1, 1)) if huge else choose_pivots(lifted(np.floor(sample(fine, "vec_id", "v")), most), n_pivots)
@@ -114,40 +118,31 @@ def _search(fine: DataFrame, k: int, every: int, n_pivots: int, block: int, chun
     def cut(batches):
         from pyspark import TaskContext
 
-        task, made, held = TaskContext.get().partitionId(), 0, []
+        task, made, held = TaskContext.get().partitionId(), 0, 0
+        last = None
 
-        def one(part: list[pa.RecordBatch]) -> pa.RecordBatch:
-            nonlocal made
-            t = pa.Table.from_batches(part)
-            r = t.column("r").to_numpy()
-            row = ((task << 32) + made, t.column("pivot")[0].as_py(), float(r.min()), float(r.max()), t.num_rows, t.column("vec_id").to_numpy().tobytes(), b"".join(t.column("v").to_pylist()))
-            made += 1
+        def one(part: pa.RecordBatch) -> pa.RecordBatch:
+            r = part.column("r").to_numpy()
+            row = ((task << 32) + made, part.column("pivot")[0].as_py(), float(r.min()), float(r.max()), part.num_rows, part.column("vec_id").to_numpy().tobytes(), b"".join(part.column("v").to_pylist()))
             kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], ["block", "pivot", "low", "high", "n", "ids", "vectors"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
             pivot = batch.column("pivot").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(pivot)) + 1).tolist(), len(pivot)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if held and held[0].column("pivot")[0].as_py() != pivot[a]:
-                    yield one(held)
-                    held = []
-                while a < b:
-                    room = size - sum(x.num_rows for x in held)
-                    held.append(batch.slice(a, min(room, b - a)))
-                    a += held[-1].num_rows
-                    if held[-1].num_rows == room:
-                        yield one(held)
-                        held = []
-        if held:
-            yield one(held)
-
-    size = max(block, math.ceil(fine.count() / MAX_BLOCKS))
-    spread = fine.mapInArrow(keyed, "pivot int, r double, vec_id long, v binary")
-    index = durable(spread.repartitionByRange("pivot", "r", "vec_id").sortWithinPartitions("pivot", "r", "vec_id").mapInArrow(cut, _BLOCK))
-    annuli = index.select("block", "pivot", "low", "high", "n").orderBy("block").toPandas()
+            a = 0
+            while a < len(pivot):
+                if pivot[a] != last or held >= size:  # a new annulus
+                    made, held, last = made + 1, 0, pivot[a]
+                same = np.flatnonzero(pivot[a:] != last)
+                b = min(a + (int(same[0]) if len(same) else len(pivot) - a), a + block, a + size - held)
+                yield one(batch.slice(a, b - a))
+                held, a = held + b - a, b
+
+    size = max(block, math.ceil(fine.count() / ANNULI))
+    spread = fine.mapInArrow(releasing(keyed), "pivot int, r double, vec_id long, v binary")
+    index = scratch.keep(spread.repartitionByRange("pivot", "r", "vec_id").sortWithinPartitions("pivot", "r", "vec_id").mapInArrow(releasing(cut), _BLOCK))
+    annuli = index.groupBy("block").agg(F.first("pivot").alias("pivot"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).orderBy("block").toPandas()
+    chunk = max(1, min(chunk, CELLS // max(1, len(annuli))))
     name, of, low, high, held_n = (annuli[c].to_numpy() for c in ("block", "pivot", "low", "high", "n"))
     queries = fine.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
 
@@ -201,9 +196,9 @@ def _search(fine: DataFrame, k: int, every: int, n_pivots: int, block: int, chun
 
     def scored(visited: DataFrame) -> DataFrame:
         pairs = index.select("block", "ids", "vectors").join(visited.hint("merge"), "block").drop("block")
-        return pairs.mapInArrow(visit, "query_id long, vec_id long, score long")
+        return pairs.mapInArrow(releasing(visit), "query_id long, vec_id long, score long")
 
-    near = durable(scored(queries.mapInArrow(first, _VISIT)))
+    near = scratch.keep(scored(queries.mapInArrow(releasing(first), _VISIT)))
     least = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.element_at(F.sort_array(F.collect_list("score"), asc=False), k)).alias("least"))
     rest = queries.join(least, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "least")
-    return near.union(scored(rest.mapInArrow(later, _VISIT)))
+    return near.union(scored(rest.mapInArrow(releasing(later), _VISIT)))
