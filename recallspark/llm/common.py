@@ -11,13 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir. There is no other one to fall back to."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
-    return at
+from recallspark.sources.tables import shared_dir
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -63,6 +57,18 @@ def salted_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", s
     return left.hint("merge").join(right, [key, salt], how).drop(salt)
 
 
+#: Rows of an Arrow batch between the engine and Python.
+BATCH_ROWS = 1000
+
+
+def of_texts(df: DataFrame) -> DataFrame:
+    """df, for a function over its rows in Python. Where rows hold texts, batches of the engine's 10,000 rows take tens of MB on both sides of each task, so a session that leaves that number as it is gets a smaller one."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a vocabulary file: an absolute path as it is, else a file of the installed public vocabularies."""
     if os.path.isabs(name):

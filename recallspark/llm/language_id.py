@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from recallspark.llm.common import Scratch, releasing, small_batches
+from recallspark.llm.common import Scratch, of_texts, releasing, small_batches
 
 SIZES = (3, 4)
 PER_LANGUAGE, SAMPLE_CHARS = 512, 16_000
@@ -153,7 +153,7 @@ def fit(
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     rows = sampled(docs, id_col, text_col, lang_col, per_language, chars, scratch)
-    counts = scratch.keep(rows.mapInArrow(releasing(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = scratch.keep(of_texts(rows).mapInArrow(releasing(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("total"))
     shares = shares.withColumn("largest", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= OWN_SHARE * F.col("largest"))
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names])
 
     schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType())
-    return docs.mapInArrow(releasing(run), schema)
+    return of_texts(docs).mapInArrow(releasing(run), schema)
 
 
 def in_training(id_col: str = "doc_id"):

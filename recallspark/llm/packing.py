@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import Numbers, releasing, small_batches, tokenizer_path
+from recallspark.llm.common import Numbers, of_texts, releasing, small_batches, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW, UNIT, DEPTH, END_ID = 4096, 64, 3, 2
@@ -382,4 +382,4 @@ def pack_documents(
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(releasing(run), f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names[1:7]) + ", ids array<int>" * with_ids)
+    return of_texts(rows).mapInArrow(releasing(run), f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names[1:7]) + ", ids array<int>" * with_ids)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import releasing, small_batches
+from recallspark.llm.common import of_texts, releasing, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "userinfo", "iban", "account", "ssn")
 BASE = KINDS[:4]
@@ -232,7 +232,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *counts, "base", "spans"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(releasing(run), f"doc_id {dict(rows.dtypes)['doc_id']}, " + "".join(f"{c} long, " for c in counts) + "base string, spans string")
+    return of_texts(rows).mapInArrow(releasing(run), f"doc_id {dict(rows.dtypes)['doc_id']}, " + "".join(f"{c} long, " for c in counts) + "base string, spans string")
 
 
 def redact_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -249,4 +249,4 @@ def redact_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [x and redacted(x, all_spans(x)) for x in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at).name, pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(releasing(run), docs.schema)
+    return of_texts(docs).mapInArrow(releasing(run), docs.schema)

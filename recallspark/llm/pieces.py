@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import Numbers, small_batches, tokenizer_path
+from recallspark.llm.common import Numbers, of_texts, small_batches, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 #: A worker's table of words starts anew beyond so many; that bounds memory and changes no result.
@@ -372,7 +372,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{x} long" for x in names[1:5]) + ", decodes boolean" + ", ids array<long>, merged_ids array<long>" * with_ids
-    return rows.mapInArrow(run, schema)
+    return of_texts(rows).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -385,4 +385,4 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<long>").alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
+    return of_texts(rows).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import Scratch, connected_components, releasing, small_batches
+from recallspark.llm.common import Scratch, connected_components, of_texts, releasing, small_batches
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 _SHIFTS, _WIDTHS = (0, 22, 43), (22, 21, 21)
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(releasing(run), f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return of_texts(rows).mapInArrow(releasing(run), f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from recallspark.llm.common import Scratch, release_memory, salted_join, text_bytes
+from recallspark.llm.common import Scratch, of_texts, release_memory, salted_join, text_bytes
 from recallspark.llm.words import mix, run_hashes, word_hashes, words_at
 
 WINDOW = 13
@@ -149,7 +149,7 @@ def drop_repeats(
     low_bits = min(bits, max(8, math.ceil(math.log2(block_windows / load))))  # cells in a block
 
     bucket = F.pmod(place, F.lit(buckets)).cast("int")
-    dealt = docs.select(bucket.alias(home), *(F.col(f"`{c}`") for c in columns))
+    dealt = of_texts(docs).select(bucket.alias(home), *(F.col(f"`{c}`") for c in columns))
 
     known = brief.where("doc is not null").select("doc", "place", "same")
     repeated = known.groupBy("same").agg(F.min("doc").alias("least"), F.count("*").alias("times")).where("times > 1").drop("times")

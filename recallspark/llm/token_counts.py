@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import Scratch, releasing, small_batches, tokenizer_path
+from recallspark.llm.common import Scratch, of_texts, releasing, small_batches, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 #: One text in so many is looked at for frequent pre-tokens; the most frequent ones, so many at most, are those of the table.
@@ -90,7 +90,7 @@ def frequent(texts: DataFrame, model: str, sample: int, most: int) -> dict[str,
                 found.update(own.frequencies(x).keys())
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["p", "n"])
 
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).select("text").mapInArrow(releasing(run), "p string, n long")
+    some = of_texts(texts).where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).select("text").mapInArrow(releasing(run), "p string, n long")
     best = some.groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(most)
     found = counted(best, model).toArrow()
     return dict(zip(found.column("p").to_pylist(), found.column("pieces").to_pylist(), strict=True))
@@ -129,7 +129,7 @@ def count_tokens(
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_bytes", "known", "rest"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    each = scratch.keep(rows.mapInArrow(releasing(run), f"row long, doc_id {kind}, n_bytes long, known long, rest array<struct<p:string,n:int>>"))
+    each = scratch.keep(of_texts(rows).mapInArrow(releasing(run), f"row long, doc_id {kind}, n_bytes long, known long, rest array<struct<p:string,n:int>>"))
     rest = each.select("row", F.inline("rest"))
     pieces = counted(rest.select("p").distinct(), model)
     sums = rest.hint("merge").join(pieces, "p").groupBy("row").agg(F.sum(F.col("n").cast("long") * F.col("pieces")).alias("others"))
