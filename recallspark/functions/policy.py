@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recallspark.functions.fixed import SEARCH_TOOLS
+
 _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 #: Patterns, classes and lifetimes in seconds; the first class that fits holds.
@@ -22,7 +24,6 @@ TEXT_CLASSES = (
     ("static_web", 86_400, r"(?iu)(raw\.githubusercontent\.com|/raw/|\.md$|\.txt$|\.json$|\.yaml$|\.yml$)"),
 )
 OBSERVATIONS = ("BrowserObservation", "FileEditorObservation", "FinishObservation", "SearchObservation", "TerminalObservation", "ThinkObservation", "ToolObservation")
-SEARCH_TOOLS = ("web_search", "browser_search", "search")
 
 
 def _classified(x: Column, classes: tuple, default: Column, default_ttl: Column) -> Column:

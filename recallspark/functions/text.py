@@ -5,21 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The characters that count as white space, and the shapes of credentials in text.
-SPACE = "".join(f"\\u{c:04x}" for c in range(0x10000) if chr(c).isspace())
-SECRET_ASSIGNMENT = (
-    rf"(?iu)(authorization[{SPACE}]*[:=][{SPACE}]*(?:bearer[{SPACE}]+)?|cookie[{SPACE}]*[:=][{SPACE}]*|"
-    rf"(?:api[_-]?key|access[_-]?token|password|secret|token)[{SPACE}]*[:=][{SPACE}]*)"
-    rf"[^{SPACE},;\"'}}]+"
-)
-SECRET_SCHEME = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:bearer|basic)[{SPACE}]+[a-z0-9._~+/=-]+"
-SECRET_VALUE = (
-    r"(?<![\p{L}\p{N}_])eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+(?:(?<=[a-zA-Z0-9_])(?![\p{L}\p{N}_])|(?<=-)(?=[\p{L}\p{N}_]))"
-    r"|(?<![\p{L}\p{N}_])(?:sk|ghp|github_pat)_[a-zA-Z0-9_-]{8,}(?:(?<=[a-zA-Z0-9_])(?![\p{L}\p{N}_])|(?<=-)(?=[\p{L}\p{N}_]))"
-)
+from recallspark.functions.fixed import HAN, HIDDEN, SENSITIVE_QUERY_KEYS, SPACE, secret_assignment, secret_scheme, secret_value
+
+#: The edges of words, and what a text's credentials look like, for the JVM.
+_EDGE = r"(?<![\p{L}\p{N}_])"
+_END = r"(?:(?<=[a-zA-Z0-9_])(?![\p{L}\p{N}_])|(?<=-)(?=[\p{L}\p{N}_]))"
+SECRETS = ("(?iu)" + secret_assignment(SPACE), "(?iu)" + secret_scheme(_EDGE, SPACE), secret_value(_EDGE, _END))
+#: Words that every credential's name or shape holds: a text without any of them needs no closer look.
+CUES = "(?iu)authorization|cookie|api[_-]?key|token|password|secret|bearer|basic|eyj|sk_|ghp_|github_pat_"
 URL = rf"(?i)https?://[^{SPACE}'\"<>]+"
 TOKEN = r"[\p{L}\p{N}_]+|[./:@?&=+\-]"
-HAN = f"[{chr(0x3400)}-{chr(0x9FFF)}]"
 PREVIEW_CHARS = 1200
 
 
@@ -48,21 +43,23 @@ def tokens(x: Column) -> Column:
 
 def redact(x: Column) -> Column:
     """x with credentials replaced: values of assignments, authorisation values, and tokens of known shapes."""
-    for pattern, by in ((SECRET_ASSIGNMENT, "$1<redacted>"), (SECRET_SCHEME, "<redacted>"), (SECRET_VALUE, "<redacted>")):
-        x = F.regexp_replace(x, pattern, by)
-    return x
+    out = x
+    for pattern, by in zip(SECRETS, (f"$1{HIDDEN}", HIDDEN, HIDDEN), strict=True):
+        out = F.regexp_replace(out, pattern, by)
+    return F.when(x.rlike(CUES), out).otherwise(x)
 
 
 def has_secret(x: Column) -> Column:
     """Whether x holds a credential; a URL also if it has user information or a value for a sensitive query key."""
-    from recallspark.functions.urls import REDACTED_QUERY_KEYS, parts
+    from recallspark.functions.urls import parts
 
     p = parts(x)
     key = lambda kv: F.trim(F.regexp_replace(F.lower(F.try_url_decode(kv[0])), "[^a-z0-9]+", "_"), F.lit("_"))
     pairs = F.transform(F.split(p["query"], "&"), lambda kv: F.split(kv, "=", 2))
-    in_query = F.exists(pairs, lambda kv: (F.size(kv) == 2) & (F.get(kv, F.lit(1)) != "") & key(kv).isin(*REDACTED_QUERY_KEYS))
+    in_query = F.exists(pairs, lambda kv: (F.size(kv) == 2) & (F.get(kv, F.lit(1)) != "") & key(kv).isin(*SENSITIVE_QUERY_KEYS))
     in_url = F.substring(x, 1, 8).rlike("^https?://") & (p["has_user"] | in_query)
-    return x.rlike(SECRET_ASSIGNMENT) | x.rlike(SECRET_SCHEME) | x.rlike(SECRET_VALUE) | F.coalesce(in_url, F.lit(False))
+    in_text = x.rlike(CUES) & (x.rlike(SECRETS[0]) | x.rlike(SECRETS[1]) | x.rlike(SECRETS[2]))
+    return in_text | F.coalesce(in_url, F.lit(False))
 
 
 def path_words(x: Column) -> Column:

@@ -9,12 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recallspark.functions.text import SPACE
-
-#: Query keys whose values are secrets, for keys of calls and for redaction.
-SECRET_QUERY_KEY = r"(?i)^(?:api[_-]?key|access[_-]?token|auth(?:orization)?|cookie|password|secret|token)$"
-REDACTED_QUERY_KEYS = ("api_key", "apikey", "access_token", "authorization", "auth", "cookie", "password", "secret", "token")
-REDACTED = "<redacted>"
+from recallspark.functions.fixed import HIDDEN, SECRET_QUERY_KEY, SENSITIVE_QUERY_KEYS, SPACE
 
 _GRAMMAR = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _PAIR = "struct<name:string,value:string>"
@@ -38,8 +33,8 @@ def parts(url: Column) -> Column:
 
 
 def decode(x: Column) -> Column:
-    """Form decoding; text with a malformed escape keeps its escapes."""
-    return F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    """Form decoding; a per cent sign that begins no escape stays as it is."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")), F.replace(x, F.lit("+"), F.lit(" ")))
 
 
 def encode(x: Column) -> Column:
@@ -79,7 +74,7 @@ def canonical(url: Column) -> Column:
     place = F.when((p["port"] > 0) & (p["port"] != default), F.concat(host, F.lit(":"), p["port"].cast("string"))).otherwise(host)
     secret = lambda q: q["name"].rlike(SECRET_QUERY_KEY)
     raw = query_pairs(p["query"])
-    pairs = F.transform(raw, lambda q: F.struct(q["name"].alias("name"), F.when(secret(q), REDACTED).otherwise(q["value"]).alias("value")))
+    pairs = F.transform(raw, lambda q: F.struct(q["name"].alias("name"), F.when(secret(q), HIDDEN).otherwise(q["value"]).alias("value")))
     nothing = F.lit(None).cast("string")
     scope = F.transform(F.filter(raw, secret), lambda q: F.struct(F.lit("url_query_secret").alias("kind"), F.lower(q["name"]).alias("name"), nothing.alias("scope_required")))
     user = F.when(p["has_user"], F.array(F.struct(F.lit("url_userinfo").alias("kind"), nothing.alias("name"), F.lit("true").alias("scope_required"))))
@@ -94,8 +89,8 @@ def canonical(url: Column) -> Column:
 def redacted(url: Column) -> Column:
     """A URL without user information and with the values of sensitive query keys replaced; other text as it is."""
     p = parts(url)
-    sensitive = lambda q: F.trim(F.regexp_replace(F.lower(q["name"]), "[^a-z0-9]+", "_"), F.lit("_")).isin(*REDACTED_QUERY_KEYS)
-    pairs = F.transform(query_pairs(p["query"]), lambda q: F.struct(q["name"].alias("name"), F.when(sensitive(q), REDACTED).otherwise(q["value"]).alias("value")))
+    sensitive = lambda q: F.trim(F.regexp_replace(F.lower(q["name"]), "[^a-z0-9]+", "_"), F.lit("_")).isin(*SENSITIVE_QUERY_KEYS)
+    pairs = F.transform(query_pairs(p["query"]), lambda q: F.struct(q["name"].alias("name"), F.when(sensitive(q), HIDDEN).otherwise(q["value"]).alias("value")))
     query = encode_pairs(pairs)
     port = F.when(p["port"].isNotNull(), F.concat(F.lit(":"), p["port"].cast("string"))).otherwise("")
     out = F.concat(p["scheme"], F.lit("://"), p["host"], port, p["path"], F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),

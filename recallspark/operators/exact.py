@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallspark.functions import policy
-from recallspark.functions.documents import KEY_VERSION, facts
+from recallspark.functions.documents import KEY_VERSION, PARTS, facts
 
 #: What a policy says for its reason.
 SEARCH_REASON = "read-only web search response"
@@ -16,11 +16,11 @@ NAVIGATE_REASON = "browser_navigate changes tab state and its observation does n
 SEARCH_TTL = 600
 
 
-def with_facts(calls: DataFrame, scope: Column | str = "local", response: bool = False) -> DataFrame:
-    """calls (tool_name, tool_input[, tool_response] as JSON texts) with the columns facts and cache_scope."""
+def with_facts(calls: DataFrame, scope: Column | str = "local", response: bool = False, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """calls (tool_name, tool_input[, tool_response] as JSON texts) with the columns facts, of which only parts are computed, and cache_scope."""
     scope = F.lit(scope) if isinstance(scope, str) else scope
     answer = F.col("tool_response") if response else None
-    return calls.withColumn("cache_scope", scope).withColumn("facts", facts(F.col("tool_name"), F.col("tool_input"), answer, F.col("cache_scope")))
+    return calls.withColumn("cache_scope", scope).withColumn("facts", facts(F.col("tool_name"), F.col("tool_input"), answer, F.col("cache_scope"), parts))
 
 
 def navigate_document(scope: Column, kind: Column, url: Column, new_tab: Column, auth_scope: Column) -> Column:
@@ -71,4 +71,4 @@ def exact_call(calls: DataFrame) -> DataFrame:
 
 def normalize_exact(calls: DataFrame, scope: Column | str = "local") -> DataFrame:
     """calls (tool_name, tool_input) with their exact call."""
-    return exact_call(with_facts(calls, scope)).drop("facts")
+    return exact_call(with_facts(calls, scope, parts=("key",))).drop("facts")

@@ -17,20 +17,34 @@ def first_per_group(rows: DataFrame, group: list[str], order: list[Column], n: i
 def bm25(candidates: DataFrame, query_col: str, text_col: str, group: list[str], row: list[str], out_col: str = "lexical_score", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """candidates with BM25 of their texts for the query of their group, divided by the group's largest; 0 for all if none is above 0.
 
-    Counts of documents, their lengths and frequencies are those of the group. All windows share one partitioning, by
-    the group, and a group is a query with its bounded candidates.
+    Counts of documents, their lengths and frequencies are those of the group: partial sums, joined back. What is shuffled
+    is a row's length and the frequencies of the query's terms, dealt by the row, so a group may be of any size; all that
+    follows reads this one exchange, and texts are cut into tokens once.
     """
-    terms = F.array_distinct(tokens(F.col(query_col)))
-    own = candidates.repartition(*group).withColumn("__tokens", tokens(F.col(text_col))).withColumn("__terms", terms)
-    tf = F.transform("__terms", lambda t: F.size(F.filter("__tokens", lambda x: x == t)))
-    whole = Window.partitionBy(*group)
-    own = own.withColumn("__n", F.count(F.lit(1)).over(whole)).withColumn("__length", F.size("__tokens")).withColumn("__mean", F.avg("__length").over(whole)).withColumn("__tf", tf).drop("__tokens", "__terms")
-    each = own.select(*group, *row, "__n", "__length", "__mean", F.posexplode_outer("__tf").alias("__pos", "__f"))
-    each = each.withColumn("__df", F.sum((F.col("__f") > 0).cast("int")).over(Window.partitionBy(*group, "__pos")))
-    one, half, f, df = F.lit(1.0), F.lit(0.5), F.col("__f").cast("double"), F.col("__df").cast("double")
-    idf = F.ln(one + (F.col("__n") - df + half) / (df + half))
-    below = F.when(F.col("__mean") > 0, f + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("__length") / F.col("__mean"))).otherwise(f)
-    raw = each.groupBy(*group, *row).agg(F.sum(F.when(f > 0, idf * (f * F.lit(k1 + 1) / below)).otherwise(0.0)).alias("__raw"))
-    top = F.max("__raw").over(whole)
-    scored = raw.withColumn(out_col, F.when(top > 0, F.col("__raw") / top).otherwise(0.0)).drop("__raw")
+    words, terms = tokens(F.col(text_col)), F.array_distinct(tokens(F.col(query_col)))
+    rows = candidates.select(*group, *row, words.alias("__words"), terms.alias("__terms"))
+    tf = F.transform("__terms", lambda t: F.size(F.filter("__words", lambda x: x == t)))
+    rows = rows.select(*group, *row, F.size("__words").alias("__length"), tf.alias("__tf")).repartition(*group, *row)
+    # a row for the text itself (place -1) and one for each term; rows are counted by their key, so that all columns of the exchange are read
+    own = F.array(F.struct(F.lit(-1).alias("place"), F.lit(1).alias("f"), F.col("__length").alias("length")))
+    each = F.concat(own, F.transform("__tf", lambda f, k: F.struct(k.alias("place"), f.alias("f"), F.lit(0).alias("length"))))
+    sums = rows.select(*group, F.struct(*row).alias("__row"), F.inline(F.filter(each, lambda x: x["f"] > 0))).groupBy(*group, "place")
+    sums = sums.agg(F.count("__row").alias("n"), F.sum("length").alias("length"))
+    stats = sums.groupBy(*group).agg(
+        F.sum(F.when(F.col("place") < 0, F.col("n"))).alias("__n"), F.sum("length").alias("__total"),
+        F.map_from_entries(F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "n")))).alias("__df"),
+    )
+    one, half, n = F.lit(1.0), F.lit(0.5), F.col("__n").cast("double")
+    mean = F.col("__total") / n
+    below = lambda f: F.when(mean > 0, f + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("__length") / mean)).otherwise(f)
+
+    def weight(f, place):
+        df = F.element_at("__df", place).cast("double")
+        f = f.cast("double")
+        return F.when(f > 0, F.ln(one + (n - df + half) / (df + half)) * (f * F.lit(k1 + 1) / below(f))).otherwise(0.0)
+
+    raw = F.aggregate(F.transform("__tf", weight), F.lit(0.0), lambda s, x: s + x)
+    raw = rows.join(stats, group).select(*group, *row, raw.alias("__raw"))
+    top = raw.groupBy(*group).agg(F.max("__raw").alias("__top"), F.count(F.struct(*row)).alias("__rows"))
+    scored = raw.join(top, group).select(*group, *row, F.when(F.col("__top") > 0, F.col("__raw") / F.col("__top")).otherwise(0.0).alias(out_col))
     return candidates.join(scored, [*group, *row])

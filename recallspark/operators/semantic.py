@@ -90,9 +90,9 @@ def semantic_call(calls: DataFrame, with_response: bool = False) -> DataFrame:
 
 def normalize_semantic(calls: DataFrame, scope: Column | str = "local") -> DataFrame:
     """calls (tool_name, tool_input) with their semantic call."""
-    return semantic_call(exact_call(with_facts(calls, scope))).drop("facts", "exact")
+    return semantic_call(exact_call(with_facts(calls, scope, parts=("key",)))).drop("facts", "exact")
 
 
 def normalize_semantic_records(records: DataFrame, scope: Column | str = "local") -> DataFrame:
     """records (tool_name, tool_input, tool_response) with their semantic call, from observations where the call has no URL."""
-    return semantic_call(exact_call(with_facts(records, scope, True)), True).drop("facts", "exact")
+    return semantic_call(exact_call(with_facts(records, scope, True, ("key", "response"))), True).drop("facts", "exact")

@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.operators import ingest, match, stats
+from recallspark.operators.exact import exact_call, with_facts
 from recallspark.sources.embedders import Embedder, Reranker
-from recallspark.sources.records import read_records
+from recallspark.sources.records import BROKEN, broken_line, log_path, read_records
 from recallspark.sources.tables import exact_table, semantic_table
 
 
-def _rebuild(table, judged: DataFrame, entries: DataFrame, slice_, call: str) -> dict:
-    table.rebuild(entries, slice_)
+def _rebuild(table, judged: DataFrame, entries: DataFrame, slice_, call: str, path: str) -> dict:
+    try:
+        table.rebuild(entries, slice_)
+    except Exception as e:
+        if BROKEN in str(e) and (where := broken_line(table.spark, path)):
+            raise ValueError(f"{BROKEN} at {where}") from e
+        raise
     return ingest.report(judged, call)
 
 
@@ -24,8 +30,8 @@ def ingest_exact_records(spark: SparkSession, records_path: str, table_path: str
     records = read_records(spark, records_path)
     judged = ingest.exact_records(records, cache_scope, trust_legacy_origins).persist()
     try:
-        source = _source(records, records_path, spark)
-        out = _rebuild(exact_table(spark, table_path), judged, ingest.exact_entries(judged), F.col("source_path") == source, "exact")
+        source = log_path(records_path, spark)
+        out = _rebuild(exact_table(spark, table_path), judged, ingest.exact_entries(judged), F.col("source_path") == source, "exact", records_path)
         return {"source": source, **out, "cache_scope": cache_scope, "trust_legacy_origins": trust_legacy_origins, "database": exact_stats(spark, table_path)}
     finally:
         judged.unpersist()
@@ -38,21 +44,15 @@ def ingest_semantic_records(spark: SparkSession, records_path: str, table_path:
     records = read_records(spark, records_path)
     judged = ingest.semantic_records(records, cache_scope, trust_legacy_origins).persist()
     try:
-        source = _source(records, records_path, spark)
+        source = log_path(records_path, spark)
         own = (F.col("source_path") == source) & (F.col("cache_scope") == cache_scope) & (F.col("embedding_provider") == embedder.provider_name) & (F.col("embedding_index") == embedder.index_id)
-        out = _rebuild(semantic_table(spark, table_path), judged, ingest.semantic_entries(judged, embedder, batch_size), own, "semantic")
+        out = _rebuild(semantic_table(spark, table_path), judged, ingest.semantic_entries(judged, embedder, batch_size), own, "semantic", records_path)
         names = {"embedding_provider": embedder.provider_name, "embedding_model": embedder.model_id, "embedding_index_id": embedder.index_id}
         return {"source": source, **out, **names, "cache_scope": cache_scope, "trust_legacy_origins": trust_legacy_origins, "database": semantic_stats(spark, table_path, cache_scope)}
     finally:
         judged.unpersist()
 
 
-def _source(records: DataFrame, path: str, spark: SparkSession) -> str:
-    from recallspark.sources.records import log_path
-
-    return log_path(path, spark)
-
-
 def _one(spark: SparkSession, tool_name: str, tool_input: dict) -> DataFrame:
     return spark.createDataFrame([(0, tool_name, json.dumps(tool_input, ensure_ascii=False))], "query_id long, tool_name string, tool_input string")
 
@@ -61,6 +61,8 @@ def match_exact(spark: SparkSession, table_path: str, tool_name: str, tool_input
     """The answer for one call, as a document; batches of calls go through operators.match."""
     now = int(time.time()) if now_epoch is None else now_epoch
     entries = exact_table(spark, table_path).read()
+    key = exact_call(with_facts(_one(spark, tool_name, tool_input), cache_scope, parts=("key",))).select("exact.exact_key").first()[0]
+    entries = entries.where(F.col("exact_key") == F.lit(key))  # goes down to the files, which are in order of the key
     row = match.match_exact(_one(spark, tool_name, tool_input), entries, now, cache_scope, limit, include_response).first().asDict(True)
     if not row["supported"]:
         return {k: row[k] for k in ("supported", "matched", "reusable", "reason")}

@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from recallspark.plans import api
-from recallspark.sources.embedders import CrossEncoderReranker, create_embedder
+from recallspark.sources.embedders import DEFAULT_MODEL, LOCAL, PROVIDERS, create_embedder, cross_encoder
 
 
 def session() -> SparkSession:
@@ -29,8 +29,8 @@ def _parser() -> argparse.ArgumentParser:
         return one
 
     def embedding(one: argparse.ArgumentParser) -> None:
-        one.add_argument("--provider", choices=("sentence-transformers", "openai-compatible", "hashing"), default="sentence-transformers")
-        one.add_argument("--model", default="BAAI/bge-small-zh-v1.5")
+        one.add_argument("--provider", choices=tuple(PROVIDERS), default=LOCAL)
+        one.add_argument("--model", default=DEFAULT_MODEL)
         one.add_argument("--api-key-env", default="EMBEDDING_API_KEY")
         one.add_argument("--dimensions", type=int)
         for name, default in (("--base-url", None), ("--query-prefix", ""), ("--document-prefix", ""), ("--device", None)):
@@ -62,7 +62,8 @@ def main(argv: list[str] | None = None) -> int:
     call = json.loads(a.input_json) if hasattr(a, "input_json") else None
     if call is not None and not isinstance(call, dict):
         raise SystemExit("--input-json must decode to an object")
-    embedder = create_embedder(a.provider, a.model, a.base_url, a.api_key_env, a.dimensions, a.query_prefix, a.document_prefix, a.device) if hasattr(a, "provider") else None
+    options = ("model", "base_url", "dimensions", "query_prefix", "document_prefix", "device")
+    embedder = create_embedder(a.provider, a.api_key_env, **{k: getattr(a, k) for k in options}) if hasattr(a, "provider") else None
     spark = session()
     if a.command == "exact-ingest":
         out = api.ingest_exact_records(spark, a.records, a.db, a.scope, a.trust_legacy_origins)
@@ -73,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "semantic-ingest":
         out = api.ingest_semantic_records(spark, a.records, a.db, embedder, a.scope, a.trust_legacy_origins, a.batch_size)
     elif a.command == "semantic-match":
-        reranker = CrossEncoderReranker(a.reranker_model, a.device) if a.reranker_model else None
+        reranker = cross_encoder(a.reranker_model, a.device) if a.reranker_model else None
         options = {"top_k": a.top_k, "candidate_k": a.candidate_k, "min_score": a.min_score, "dense_weight": a.dense_weight, "lexical_weight": a.lexical_weight, "rerank_top_n": a.rerank_top_n}
         out = api.match_semantic(spark, a.db, a.tool, call, embedder, a.scope, reranker=reranker, include_response=a.full_response, fresh_only=not a.include_stale, **options)
     else:

@@ -6,17 +6,22 @@ observations from events, texts from documents, vectors from embeddings.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.functions import policy, text, urls, vectors
-from recallspark.operators import evaluate, match, stats
+from recallspark.operators import evaluate, ingest, match, stats
 from recallspark.operators.exact import exact_call, normalize_exact, with_facts
+from recallspark.operators.legacy import normalize_calls
 from recallspark.operators.ranking import bm25, first_per_group
-from recallspark.operators.semantic import normalize_semantic
-from recallspark.sources.embedders import HashingEmbedder, embedded
+from recallspark.operators.semantic import normalize_semantic, normalize_semantic_records
+from recallspark.sources.embedders import TextEmbedder, create_embedder, embedded
+from recallspark.sources.records import records_of
+from recallspark.sources.tables import exact_table, semantic_table, shared_dir
 
 #: A week into the events.
 NOW = 1704067200 + 7 * 86400
@@ -72,6 +77,13 @@ def path_words(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.path_words(urls.parts(F.col("url"))["path"]).alias("words"))
 
 
+@query(f"""with {_PAGES} select page_id, scheme || '://' || host || ':8080' || path || '?' || array_to_string(list_transform(pairs, lambda q: url_encode(q.name) || '=' || url_encode(q.value)) || ['Api-Key=%3Credacted%3E'], '&') || '#top' as url from canon_""")
+def url_redact(spark, sf_dir):
+    mark = F.when(F.contains("url", F.lit("?")), "&").otherwise("?")
+    url = F.concat(F.regexp_replace(F.regexp_replace("url", "#.*$", ""), r"^(https?)://([^/?#]*)", "$1://me:pw@$2:8080"), mark, F.lit("Api-Key=k#top"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.redacted(url).alias("url"))
+
+
 @query(r"""select page_id, case when regexp_matches(url, '(?i)(^|[^\p{L}\p{N}_])(latest|current|today|now|recent|news|price|stock|weather|score|trending|release)([^\p{L}\p{N}_]|$)') then 'volatile'
  when regexp_matches(url, '(?i)(/search(/|\?|$)|[?&](q|query|search_query)=|google\.|bing\.|duckduckgo\.)') then 'search'
  when regexp_matches(url, '(?i)(/commit/[0-9a-f]{7,40}(/|$)|/raw/[0-9a-f]{40}/|arxiv\.org/(abs|pdf)/[0-9]{4}\.[0-9]+)') then 'immutable'
@@ -139,6 +151,12 @@ _ENTRIES = f"""entries_ as (select cast(event_id as varchar) as record_key, {_SE
  cast(floor(epoch(ts)) as bigint) + 600 as expires, {_STATUS} as status from events join part on p_partkey = user_id)"""
 
 
+_PICKED = f"""queries_ as (select p_partkey as query_id, {_SEARCH_KEY} as exact_key from part),
+history_ as (select * from (select *, row_number() over (partition by exact_key order by (status = 'success') desc, ended_at desc nulls last, record_key) as h from entries_) where h <= 20),
+judged_ as (select *, case when status = 'success' and expires > {NOW} then 0 when status = 'success' then 1 else 2 end as choice from history_),
+picked_ as (select * from (select *, row_number() over (partition by exact_key order by choice, h) as r, count(*) over (partition by exact_key) as n from judged_) where r = 1), """
+
+
 @query(f"""with {_ENTRIES}, queries_ as (select p_partkey as query_id, {_SEARCH_KEY} as exact_key from part),
 history_ as (select * from (select *, row_number() over (partition by exact_key order by (status = 'success') desc, ended_at desc nulls last, record_key) as h from entries_) where h <= 20),
 judged_ as (select *, case when status = 'success' and expires > {NOW} then 0 when status = 'success' then 1 else 2 end as choice from history_),
@@ -160,12 +178,6 @@ def exact_reason(spark, sf_dir):
     return exact_match_asof(spark, sf_dir).groupBy(short.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"with {_ENTRIES} select exact_key, max_by(record_key, ended_at || lpad(record_key, 12, '0')) as newest, count(*) as n from entries_ group by exact_key")
-def exact_dedupe(spark, sf_dir):
-    order = F.concat("ended_at", F.lpad("record_key", 12, "0"))
-    return _observed(spark, sf_dir).groupBy("exact_key").agg(F.max_by("record_key", order).alias("newest"), F.count("*").alias("n"))
-
-
 @query(f"with {_ENTRIES} select 'web_search' as operation_kind, count(*) as count, cast(sum(cast(status = 'success' as int)) as bigint) as success, count(*) as replayable from entries_ having count(*) > 0")
 def exact_stats(spark, sf_dir):
     return stats.exact_stats(_observed(spark, sf_dir))
@@ -187,18 +199,64 @@ def origin_status(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", policy.origin_status(source, F.lit(True), kind == "view", True).alias("s")).select("event_id", "s.ok", "s.reason")
 
 
-@query(f"""with rows_ as (select user_id, case when event_type = 'view' then 'origin' else 'imported' end as outcome, {_STATUS} as status from events)
-select 'outcome' as counter, outcome as name, count(*) as n from rows_ group by 2 union all select 'status', case when status = 'success' then 'success' else 'failed' end, count(*) from rows_ where outcome = 'imported' group by 2
-union all select 'seen', 'seen', count(*) from rows_ having count(*) > 0""")
-def ingest_report(spark, sf_dir):
-    rows = response_status(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
-    ok = F.col("event_type") != "view"
-    each = F.array(
-        F.struct(F.lit("outcome").alias("counter"), F.when(ok, "imported").otherwise("origin").alias("name")),
-        F.struct(F.lit("status").alias("counter"), F.when(ok, F.when(F.col("ok"), "success").otherwise("failed")).alias("name")),
-        F.struct(F.lit("seen").alias("counter"), F.lit("seen").alias("name")),
-    )
-    return rows.select(F.explode(each).alias("x")).select("x.*").where("name is not null").groupBy("counter", "name").agg(F.count("*").alias("n"))
+# ---- logs: a record for each event; what its type says decides what becomes of it
+
+_OUTCOME = "case event_type when 'view' then 'origin' when 'signup' then 'invalid' when 'purchase' then 'secret_response' else 'imported' end"
+
+
+def _log(spark: SparkSession, sf_dir: str, text_: str = "event") -> DataFrame:
+    """(value, event_id): lines of a log. Views are of another origin, signups have no response yet, purchases hold a cookie, errors failed."""
+    kind, id_ = F.col("event_type"), F.col("event_id").cast("string")
+    said = F.when(kind == "purchase", "Cookie: sessionid=abc").otherwise(F.concat(F.lit(f"{text_} "), id_))
+    answer = F.struct(F.lit("SearchObservation").alias("kind"), (kind == "error").alias("is_error"), F.array(F.struct(F.lit("text").alias("type"), said.alias("text"))).alias("content"))
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    record = F.struct(
+        F.concat(F.lit("e"), id_).alias("record_key"), F.lit("web_search").alias("tool_name"), F.struct(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("query")).alias("tool_input"),
+        F.when(kind != "signup", answer).alias("tool_response"), at.alias("started_at"), at.alias("ended_at"), F.when(kind == "view", "hook_replacement").otherwise("tool").alias("execution_source"),
+    )
+    return table(spark, sf_dir, "events").select(F.to_json(record).alias("value"), "event_id")
+
+
+@query(f"""with rows_ as (select *, {_OUTCOME} as outcome, event_type = 'error' as failed from events), ok_ as (select * from rows_ where outcome = 'imported')
+select 'total' as counter, 'seen' as name, count(*) as n from rows_ having count(*) > 0 union all select 'total', case when outcome = 'imported' then 'imported' else 'unsupported' end, count(*) from rows_ group by 2
+ union all select 'tool_counts', 'web_search', count(*) from rows_ having count(*) > 0 union all select 'imported_tool_counts', 'web_search', count(*) from ok_ having count(*) > 0
+ union all select 'unsupported_tool_counts', 'web_search', count(*) from rows_ where outcome <> 'imported' having count(*) > 0 union all select 'operation_counts', 'web_search', count(*) from ok_ having count(*) > 0
+ union all select 'status_counts', case when failed then 'failed' else 'success' end, count(*) from ok_ group by 2 union all select 'outcome_counts', outcome, count(*) from rows_ group by 2
+ union all select 'provenance_counts', case when event_type = 'view' then 'execution_source=''hook_replacement'' is not an origin' else 'trusted tool origin' end, count(*) from rows_ group by 2""")
+def import_report(spark, sf_dir):
+    """What the import of a log counts."""
+    return ingest.report_counts(ingest.exact_records(records_of(_log(spark, sf_dir).select("value"))), "exact")
+
+
+@query(f"""select 'e' || event_id as record_key, event_type <> 'error' as success, case when event_type = 'error' then 'tool_response.is_error is not explicitly false' else 'success' end as status_reason,
+ cast(floor(epoch(ts)) as bigint) as observed_at_epoch, cast(floor(epoch(ts)) as bigint) + 600 as expires_at_epoch, '{{"query":"user ' || user_id || '"}}' as tool_input,
+ 'event ' || event_id as response_text, sha256('event ' || event_id) as response_sha256,
+ sha256('{{"action_kind":"SearchAction","cache_scope":"team","input":{{"query":"user ' || user_id || '"}},"key_version":"exact-v5","operation_kind":"web_search","tool_name":"web_search"}}') as exact_key
+ from events where {_OUTCOME} = 'imported'""")
+def import_entries(spark, sf_dir):
+    """The entries that the import of a log makes."""
+    records = records_of(_log(spark, sf_dir).select("value")).withColumn("source_path", F.lit("log"))
+    entries = ingest.exact_entries(ingest.exact_records(records, "team"))
+    return entries.select("record_key", "success", "status_reason", "observed_at_epoch", "expires_at_epoch", "tool_input", "response_text", "response_sha256", "exact_key")
+
+
+@query(f"""with ok_ as (select *, case when event_id % 2 = 0 then 'a' else 'b' end as source from events where {_OUTCOME} = 'imported')
+select 'e' || event_id as record_key, case when event_id % 5 = 0 then 'c' else source end as source_path, case when event_id % 5 = 0 then 'third ' when source = 'a' then 'second ' else 'first ' end || event_id as response_text
+ from ok_ where event_id % 5 = 0 or source = 'b' or event_id % 3 = 0""")
+def index_rebuild(spark, sf_dir):
+    """An index table after two logs, the first of them imported again with a third of its records, and a delta that takes over every fifth record."""
+    at = exact_table(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+
+    def entries(text_: str, source: str, which: str) -> DataFrame:
+        lines = _log(spark, sf_dir, text_).where(which).select("value")
+        return ingest.exact_entries(ingest.exact_records(records_of(lines).withColumn("source_path", F.lit(source))))
+
+    own = lambda source: F.col("source_path") == source
+    at.rebuild(entries("first", "a", "event_id % 2 = 0"), own("a"))
+    at.rebuild(entries("first", "b", "event_id % 2 = 1"), own("b"))
+    at.rebuild(entries("second", "a", "event_id % 6 = 0"), own("a"))
+    at.append(entries("third", "c", "event_id % 5 = 0"))
+    return at.read().select("record_key", "source_path", "response_text")
 
 
 # ---- texts
@@ -263,14 +321,14 @@ def bm25_local(spark, sf_dir):
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries, and for each label its newest 50 vectors."""
+    """Queries, and all vectors with their place in their label, newest first."""
     rows = table(spark, sf_dir, "embeddings")
     queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    return queries, first_per_group(rows, ["label"], [F.desc("vec_id")], 50, "recency_rank")
+    return queries, first_per_group(rows, ["label"], [F.desc("vec_id")], 1 << 30, "recency_rank")
 
 
 _CANDIDATES = """cand_ as (select q.vec_id as query_id, c.vec_id, c.r as recency_rank, list_cosine_similarity(q.embedding::double[], c.embedding::double[]) as dense
- from embeddings q join (select * from (select *, row_number() over (partition by label order by vec_id desc) as r from embeddings) where r <= 50) c on q.label = c.label where q.vec_id % 20 = 0)"""
+ from embeddings q join (select *, row_number() over (partition by label order by vec_id desc) as r from embeddings) c on q.label = c.label where q.vec_id % 20 = 0)"""
 
 
 @query(f"with {_CANDIDATES} select query_id, cast(rank as int) as rank, vec_id, round(dense, 6) as score from (select *, row_number() over (partition by query_id order by dense desc, recency_rank) as rank from cand_) where rank <= 5")
@@ -303,10 +361,22 @@ def hybrid_rank(spark, sf_dir):
     return first_per_group(rows, ["query_id"], [F.round("hybrid", 9).desc(), F.asc("recency_rank")], 5).select("query_id", "rank", "vec_id", F.round("hybrid", 6).alias("score"))
 
 
-@query("select label, count(*) as candidates, min(vec_id) as oldest from (select *, row_number() over (partition by label order by vec_id desc) as r from embeddings) where r <= 50 group by label")
+@query("""with e_ as (select *, vec_id % 3 > 0 as success, vec_id % 2 = 0 as fresh from embeddings)
+select label, count(*) as candidates, min(vec_id) as oldest, max(r) as last_rank from (select *, row_number() over (partition by label order by vec_id desc) as r from e_ where success) where r <= 50 and fresh group by label""")
 def candidate_bound(spark, sf_dir):
-    _, entries = _vectors(spark, sf_dir)
-    return entries.groupBy("label").agg(F.count("*").alias("candidates"), F.min("vec_id").alias("oldest"))
+    """The bound on candidates: the newest successful entries of each block, stale ones counted, and of these the fresh ones."""
+    same = [F.lit("x").alias(c) for c in ("cache_scope", "embedding_provider", "embedding_index", "semantic_version")]
+    entries = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", *same, F.col("label").cast("string").alias("operation_kind"), (F.col("vec_id") % 3 > 0).alias("success"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("ended_at"),
+        F.col("vec_id").cast("string").alias("record_key"), F.when(F.col("vec_id") % 2 == 0, NOW + 1).otherwise(NOW).cast("long").alias("expires_at_epoch"),
+    )
+    found = match.candidates_of(entries, 50, NOW)
+    return found.groupBy("label").agg(F.count("*").alias("candidates"), F.min("vec_id").alias("oldest"), F.max("recency_rank").cast("long").alias("last_rank"))
+
+
+@query("select vec_id, round(case when x between 0 and 1 then x else 1 / (1 + exp(-x)) end, 9) as p from (select vec_id, 4 * embedding[1]::double as x from embeddings)")
+def score_squash(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.squash(4 * F.col("embedding")[0].cast("double")), 9).alias("p"))
 
 
 _RANKED = f"""{_CANDIDATES}, ranked_ as (select *, row_number() over (partition by query_id order by dense desc, recency_rank) as rank from cand_), label_ as (select query_id, vec_id from cand_ where vec_id % 3 = query_id % 3)"""
@@ -334,39 +404,210 @@ def threshold_sweep(spark, sf_dir):
     return found.select("threshold", "returned", "hits", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query(f"""with {_ENTRIES}, best_ as (select exact_key, max(case when status = 'success' and expires > {NOW} then 1 else 0 end) as reuse, min(case when status = 'success' and expires > {NOW} then ended_at || lpad(record_key, 12, '0') end) as k from entries_ group by exact_key),
-d_ as (select p_partkey, coalesce(reuse, 0) = 1 as reusable from (select p_partkey, {_SEARCH_KEY} as exact_key from part) left join best_ using (exact_key))
-select count(*) as queries, count(case when reusable then 1 end) as reused, round(count(case when reusable then 1 end) / count(*)::double, 6) as coverage from d_""")
+@query(f"""with {_ENTRIES}, {_PICKED}d_ as (select query_id, coalesce(choice = 0, false) as reusable, record_key from queries_ left join picked_ using (exact_key))
+select count(*) as queries, count(case when reusable then 1 end) as reused, round(count(case when reusable then 1 end) / count(*)::double, 6) as coverage,
+ round(count(case when reusable and record_key::bigint % 4 = 0 then 1 end) / nullif(count(case when reusable then 1 end), 0)::double, 6) as false_reuse_rate from d_""")
 def reuse_coverage(spark, sf_dir):
+    """Reuse against labels: a record whose number is divisible by four was not to be reused."""
     decided = exact_match_asof(spark, sf_dir).select("query_id", "reusable", "record_key")
-    found = evaluate.false_reuse(decided, decided.where("reusable").select("query_id", "record_key"))
-    return found.select("queries", "reused", F.round("coverage", 6).alias("coverage"))
-
+    labels = decided.where(F.col("record_key").cast("long") % 4 != 0).select("query_id", "record_key")
+    found = evaluate.false_reuse(decided, labels)
+    return found.select("queries", "reused", *(F.round(c, 6).alias(c) for c in ("coverage", "false_reuse_rate")))
+
+
+# ---- commands: each part is fetched by one of these, and the same facts are told in SQL
+
+_ADDRESS = "https://api.example.com/search?q="
+#: (command around {u}, method, what the URL gains, headers, secret headers, body, auth scope, options, ignored options, side effects, what follows, exact, replay)
+_COMMANDS = (
+    ("curl -s {u}", "GET", "", "[]", "[]", "", "[]", "{}", '["-s"]', "[]", "", True, True),
+    ("curl {u} | head -5", "GET", "", "[]", "[]", "", "[]", "{}", "[]", "[]", "head -5", True, True),
+    ("curl {u} -H 'Accept:   application/json'", "GET", "", '[{"name":"accept","value":"application/json"}]', "[]", "", "[]", "{}", "[]", "[]", "", True, True),
+    ("curl {u} > out.txt", "GET", "", "[]", "[]", "", "[]", "{}", "[]", '[{"kind":"shell_redirect","target":"out.txt"}]', "", True, False),
+    ("curl {u} -d a=b", "POST", "", "[]", "[]", '[{"kind":"-d","value":"a=b"}]', "[]", "{}", "[]", "[]", "", True, True),
+    ("curl -sSL {u}", "GET", "", "[]", "[]", "", "[]", '{"follow_redirects":true}', "[]", "[]", "", True, True),
+    ("curl -XPUT {u}", "PUT", "", "[]", "[]", "", "[]", "{}", "[]", "[]", "", True, True),
+    ("curl --head {u}", "HEAD", "", "[]", "[]", "", "[]", '{"include_response_headers":true}', "[]", "[]", "", True, True),
+    ("curl -G -d a=b {u}", "GET", "&a=b", "[]", "[]", "", "[]", "{}", "[]", "[]", "", True, True),
+    ("curl --url-query a=b {u}", "GET", "&a=b", "[]", "[]", "", "[]", "{}", "[]", "[]", "", True, True),
+    ("curl -u me:pw {u}", "GET", "", "[]", "[]", "", '[{"kind":"basic_auth","scope_required":"true"}]', "{}", "[]", "[]", "", False, False),
+    ("curl -b c=d {u}", "GET", "", "[]", "[]", "", '[{"kind":"-b","scope_required":"true"}]', "{}", "[]", "[]", "", False, False),
+    ("curl -A agent {u}", "GET", "", '[{"name":"user-agent","value":"agent"}]', "[]", "", "[]", "{}", "[]", "[]", "", True, True),
+    ("curl --max-time 5 {u}", "GET", "", "[]", "[]", "", "[]", "{}", "[]", "[]", "", False, False),
+    ("curl -f --compressed -k {u}", "GET", "", "[]", "[]", "", "[]", '{"compressed":true,"fail_mode":"fail","insecure":true}', "[]", "[]", "", True, True),
+    ("curl {u} | tee f", "GET", "", "[]", "[]", "", "[]", "{}", "[]", "[]", "tee f", True, False),
+    ("curl {u} -o f", "GET", "", "[]", "[]", "", "[]", "{}", "[]", '[{"kind":"-o","target":"f"}]', "", True, False),
+    ("curl {u} -O", "GET", "", "[]", "[]", "", "[]", "{}", "[]", '[{"kind":"-O","target":""}]', "", True, False),
+    ("curl --json '{}' {u}", "POST", "", '[{"name":"accept","value":"application/json"},{"name":"content-type","value":"application/json"}]', "[]", '[{"kind":"--json","value":"{}"}]', "[]", "{}", "[]", "[]", "", True, True),
+    ("curl {u} && touch x", "GET", "", "[]", "[]", "", "[]", "{}", "[]", "[]", "touch x", True, False),
+    ("curl -H 'X-Api-Key: k' {u}", "GET", "", "[]", '[{"name":"x-api-key","value_sha256":"<redacted>"}]', "", "[]", "{}", "[]", "[]", "", False, False),
+    ("FOO=bar curl {u}", "GET", "", "[]", "[]", "", "[]", "{}", "[]", "[]", "", False, False),
+    ("/usr/bin/curl {u} | grep '$x'", "GET", "", "[]", "[]", "", "[]", "{}", "[]", "[]", "grep '$x'", True, False),
+    ("git clone {u}", "GET", "", "[]", "[]", "", "[]", "{}", "[]", "[]", "", True, True),
+)
 
-# ---- what SQL does not express: shell grammar, hashing of features, models
 
 def _fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat(F.lit("'https://api.example.com/search?q="), F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("&n="), F.col("p_size").cast("string"), F.lit("'"))
-    tail = F.element_at(F.array(F.lit(""), F.lit(" | head -5"), F.lit(" -H 'Accept: application/json'"), F.lit(" > out.txt"), F.lit(" -d a=b"), F.lit(" -sSL")), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.lit("terminal").alias("tool_name"), F.to_json(F.struct(F.concat(F.lit("curl -s "), url, tail).alias("command"))).alias("tool_input"))
+    url = F.concat(F.lit(f"'{_ADDRESS}"), F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("&n="), F.col("p_size").cast("string"), F.lit("'"))
+    templates = F.array(*(F.lit(c[0]) for c in _COMMANDS))
+    command = F.replace(F.get(templates, (F.col("p_partkey") % len(_COMMANDS)).cast("int")), F.lit("{u}"), url)
+    return table(spark, sf_dir, "part").select("p_partkey", F.lit("terminal").alias("tool_name"), F.to_json(F.struct(command.alias("command"))).alias("tool_input"))
 
 
-@query()
+def _sql(x) -> str:
+    return str(x).lower() if isinstance(x, bool) else "'" + str(x).replace("'", "''") + "'"
+
+
+_FETCHED = f"""what_ (k, method, extra, headers, secret, body, auth, options, ignored, effects, post, supported, replay) as (values {", ".join("(" + ", ".join([str(k), *map(_sql, c[1:])]) + ")" for k, c in enumerate(_COMMANDS))}),
+fetch_ as (select p_partkey, p_name, p_size, w.*, '{_ADDRESS}' || replace(p_name, ' ', '+') || '&n=' || p_size || extra as url, case when body = '' then 'null' else '"' || sha256(body) || '"' end as body_hash from part join what_ w on w.k = p_partkey % {len(_COMMANDS)}),
+asked_ as (select *, '{{"auth_scope":' || auth || ',"body_hash":' || body_hash || ',"headers":' || headers || ',"method":"' || method || '","options":' || options || ',"secret_headers":' || secret || ',"url":"' || url || '"}}' as request from fetch_)"""
+
+
+@query(f"""with {_FETCHED} select p_partkey, method, url, headers, secret as secret_headers, auth as auth_scope, regexp_replace(options, ':true', ':"true"', 'g') as options, ignored as ignored_options, effects as side_effects,
+ post as postprocess, supported as exact_supported, replay as replay_safe, nullif(trim(body_hash, '"'), 'null') as body_hash,
+ sha256('{{"kind":"curl","postprocess":"' || post || '","request":' || request || ',"tool":"terminal"}}') as key from asked_""")
 def curl_fingerprint(spark, sf_dir):
     r = F.col("facts.request")
-    rows = with_facts(_fetches(spark, sf_dir))
-    return rows.select("p_partkey", r["method"].alias("method"), r["url"].alias("url"), r["postprocess_signature"].alias("postprocess"), r["exact_supported"].alias("exact_supported"), r["replay_safe"].alias("replay_safe"), F.col("facts.generic_key").alias("key"))
+    rows = with_facts(_fetches(spark, sf_dir), parts=("legacy",))
+    shown = [F.to_json(r[c]).alias(c) for c in ("headers", "secret_headers", "auth_scope", "options", "ignored_options", "side_effects")]
+    return rows.select("p_partkey", r["method"].alias("method"), r["url"].alias("url"), *shown, r["postprocess_signature"].alias("postprocess"), r["exact_supported"].alias("exact_supported"),
+                       r["replay_safe"].alias("replay_safe"), r["body_hash"].alias("body_hash"), F.col("facts.generic_key").alias("key"))
 
 
-@query()
+@query(f"""with {_FETCHED}, e_ as (select *, supported and k <> {len(_COMMANDS) - 1} as exact, replay and method in ('GET', 'HEAD') and body = '' as pure from asked_)
+select p_partkey, case when exact then sha256('{{"action_kind":"TerminalAction","cache_scope":"local","key_version":"exact-v5","operation_kind":"web_search_curl","output":{{"postprocess":"' || post || '","side_effects":' || effects || '}},"request":' || request || ',"tool_name":"terminal"}}') end as exact_key,
+ case when exact then pure end as replayable, case when exact then case when pure then 'response' else 'match_only' end end as replay_policy, case when exact then 'search' end as freshness_class from e_""")
+def exact_key_curl(spark, sf_dir):
+    return normalize_exact(_fetches(spark, sf_dir)).select("p_partkey", *(f"exact.{c}" for c in ("exact_key", "replayable", "replay_policy", "freshness_class")))
+
+
+@query(f"""with {_FETCHED}, s_ as (select *, (supported and k <> {len(_COMMANDS) - 1}) or (supported and replay and method in ('GET', 'HEAD') and body = '' and effects = '[]') as has_text from asked_)
+select p_partkey, case when has_text then 'web_search_curl' end as operation_kind, case when has_text then
+ trim('web fetch http ' || lower(method) || ' api.example.com search q ' || lower(p_name) || ' n ' || p_size || replace(replace(extra, '&', ' '), '=', ' ') || ' ' || post) end as semantic_text,
+ case when has_text then method end as method from s_""")
 def semantic_text_curl(spark, sf_dir):
-    return normalize_semantic(_fetches(spark, sf_dir)).select("p_partkey", "semantic.operation_kind", "semantic.semantic_text")
+    return normalize_semantic(_fetches(spark, sf_dir)).select("p_partkey", "semantic.operation_kind", "semantic.semantic_text", "semantic.metadata.method")
 
 
-@query()
-def hash_embed(spark, sf_dir):
-    rows = embedded(table(spark, sf_dir, "benchmark"), "text", HashingEmbedder(64))
-    return rows.select("item_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+@query("select p_partkey, 'web search query ' || lower(p_name) as semantic_text, 'a,b' as domains, lower(p_name) as query, 'day' as recency, 'web_search' as operation_kind from part")
+def semantic_text_search(spark, sf_dir):
+    call = F.to_json(F.struct(F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit(" \n "))).alias("search_query"), F.array(F.lit("b"), F.lit("a")).alias("domains"), F.lit("day").alias("date_range")))
+    calls = table(spark, sf_dir, "part").select("p_partkey", F.lit("web_search").alias("tool_name"), call.alias("tool_input"))
+    m = F.col("semantic.metadata")
+    return normalize_semantic(calls).select("p_partkey", "semantic.semantic_text", F.array_join(m["domains"], ",").alias("domains"), m["query"].alias("query"), m["recency"].alias("recency"), "semantic.operation_kind")
+
+
+_PLACE = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || ' ' || translate(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/-_.', '    ') || ' ' || translate(regexp_extract(url, '\\?([^#]*)', 1), '=&', '  ')"
+
+
+@query(rf"""with b_ as (select page_id, url, case when page_id % 3 = 0 then '{{"title": "t", "url": "' || url || '"}}' when page_id % 3 = 1 then repeat('Page ' || page_id || ' of many. ', 700) else '' end as body from pages),
+c_ as (select *, trim(body) as whole, left(trim(body), 12000) as indexed from b_ where body <> '')
+select page_id, sha256(trim(regexp_replace(lower('browser web page content ' || {_PLACE} || ' ' || indexed), '\s+', ' ', 'g'))) as text_sha256, length(whole) as content_chars, length(indexed) as indexed_chars, 'browser_page' as operation_kind from c_""")
+def semantic_text_pages(spark, sf_dir):
+    """Reads of the current page: its state, its content, and content that is empty."""
+    state, body = F.concat(F.lit('{"title": "t", "url": "'), F.col("url"), F.lit('"}')), F.repeat(F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit(" of many. ")), 700)
+    page = F.concat(F.lit("noise <URL> "), F.col("url"), F.lit(" </URL>\n<webpage_content>\n"), F.when(F.col("page_id") % 3 == 1, body).otherwise(" "), F.lit("\n</webpage_content>"))
+    is_state = F.col("page_id") % 3 == 0
+    answer = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.when(is_state, state).otherwise(page).alias("text"))).alias("content")))
+    tool = F.when(is_state, "browser_get_state").otherwise("browser_get_content")
+    records = table(spark, sf_dir, "pages").select("page_id", tool.alias("tool_name"), F.lit("{}").alias("tool_input"), answer.alias("tool_response"))
+    found = normalize_semantic_records(records).where("semantic is not null")
+    m = F.col("semantic.metadata")
+    return found.select("page_id", F.sha2("semantic.semantic_text", 256).alias("text_sha256"), m["content_chars"].alias("content_chars"), m["indexed_content_chars"].alias("indexed_chars"), "semantic.operation_kind")
+
+
+@query("""select p_partkey, p_name as query, false as secret_field, '{"kind":"SearchAction","query":"' || p_name || '"}' as safe_input,
+ '{"action_kind":"SearchAction","cache_scope":"local","input":{"query":"' || p_name || '"},"key_version":"exact-v5","operation_kind":"web_search","tool_name":"web_search"}' as canonical_json from part""")
+def facts_of_calls(spark, sf_dir):
+    rows = exact_call(with_facts(_searches(spark, sf_dir), parts=("key", "safe")))
+    return rows.select("p_partkey", "facts.query", "facts.secret_field", "facts.safe_input", "exact.canonical_json")
+
+
+@query("""select p_partkey, '{"api_key":"<redacted>","command":"curl -H ''Authorization: <redacted>'' -u ''<redacted>'' ''https://e.com/a?token=%3Credacted%3E''","deep":[{"link":"https://e.com:8080/p?auth=%3Credacted%3E&b=2#f"}],"n":' || p_size || ',"note":"password=<redacted> ok","query":"q"}' as safe_input,
+ true as secret_field, false as has_key from part""")
+def redact_calls(spark, sf_dir):
+    """Inputs with secrets in fields, texts, URLs and commands. A command is a text first, so its first rule takes all that follows an assignment."""
+    size = F.col("p_size").cast("string")
+    command = F.concat(F.lit("curl -H 'Authorization: Bearer x' -u me:pw 'https://u:p@e.com/a?token=T&x="), size, F.lit("'"))
+    call = F.to_json(F.struct(
+        command.alias("command"), F.lit("k").alias("api_key"), F.concat(F.lit("password=hunter"), size, F.lit(" ok")).alias("note"), F.lit("q").alias("query"),
+        F.array(F.struct(F.lit("https://me:pw@e.com:8080/p?auth=1&b=2#f").alias("link"))).alias("deep"), F.col("p_size").alias("n"),
+    ))
+    rows = exact_call(with_facts(table(spark, sf_dir, "part").select("p_partkey", F.lit("web_search").alias("tool_name"), call.alias("tool_input")), parts=("key", "safe")))
+    return rows.select("p_partkey", "facts.safe_input", "facts.secret_field", F.col("exact").isNotNull().alias("has_key"))
+
+
+@query("""with c_ as (select p_partkey, p_partkey % 4 as k, p_size as n, lower(p_name) as low, p_name as name, 'https://api.example.com/docs/' || p_size || '.md' as u from part),
+d_ as (select *, case k when 0 then '{"kind":"curl","postprocess":"","request":{"auth_scope":[],"body_hash":null,"headers":[],"method":"GET","options":{},"secret_headers":[],"url":"' || u || '"},"tool":"terminal"}'
+ when 1 then '{"terminal":{"action_kind":null,"command":"ls -l ' || name || '","kind":"terminal","working_dir":null},"tool":"terminal"}'
+ when 2 then '{"tool":"web_search","web_search":{"domains":["a","b"],"kind":"web_search","query":"latest ' || low || '","raw_query":"Latest ' || name || '","recency":null}}'
+ else '{"input":{"x":' || n || '},"tool":"file_editor"}' end as doc from c_)
+select p_partkey, sha256(doc) as canonical_key, case k when 0 then 'curl' when 1 then 'terminal' when 2 then 'web_search' else 'generic' end as kind,
+ case k when 0 then 'curl get api.example.com /docs/' || n || '.md' when 1 then 'terminal command: ls -l ' || name when 2 then 'web search: latest ' || low else 'file_editor: {"x":' || n || '}' end as intent_text,
+ case k when 0 then 'static_web' when 2 then 'volatile' else 'generic' end as freshness_class, case k when 2 then 300 else 86400 end::bigint as ttl_seconds from d_""")
+def legacy_calls(spark, sf_dir):
+    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    command = F.when(k == 0, F.concat(F.lit("curl 'https://API.example.com:443/docs/"), n, F.lit(".md'"))).when(k == 1, F.concat(F.lit("  ls   -l "), F.col("p_name")))
+    search = F.struct(F.concat(F.lit("Latest "), F.col("p_name")).alias("q"), F.array(F.lit("B"), F.lit("a")).alias("domains"))
+    call = F.when(k <= 1, F.to_json(F.struct(command.alias("command")))).when(k == 2, F.to_json(search)).otherwise(F.to_json(F.struct(F.col("p_size").alias("x"))))
+    tool = F.when(k <= 1, "terminal").when(k == 2, "web_search").otherwise("file_editor")
+    found = normalize_calls(table(spark, sf_dir, "part").select("p_partkey", tool.alias("tool_name"), call.alias("tool_input")))
+    return found.select("p_partkey", *(f"normalized.{c}" for c in ("canonical_key", "kind", "intent_text", "freshness_class", "ttl_seconds")))
+
+
+# ---- retrieval: the parts were searched for before; every fortieth is searched for again
+
+_SIGNS = "aeorst"
+
+
+def _sign_counts(texts: list[str]) -> np.ndarray:
+    """A stand-in for a model that SQL can follow: how often some letters occur, and the length."""
+    return np.array([[*(t.count(c) for c in _SIGNS), len(t)] for t in texts], np.float64).reshape(len(texts), -1)
+
+
+_SIGN_EMBEDDER = TextEmbedder("signs", "signs-1", _sign_counts)
+
+
+def _semantic_index(spark: SparkSession, sf_dir: str):
+    """The semantic index of a log of searches, one for each part; every seventh failed."""
+    id_ = F.col("p_partkey").cast("string")
+    answer = F.struct(F.lit("SearchObservation").alias("kind"), (F.col("p_partkey") % 7 == 0).alias("is_error"), F.concat(F.lit("found "), id_).alias("text"))
+    at = F.date_format(F.timestamp_seconds(F.lit(NOW) - 60 * F.col("p_partkey") % 86400), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    record = F.struct(F.lpad(id_, 9, "0").alias("record_key"), F.lit("web_search").alias("tool_name"), F.struct(F.col("p_name").alias("query")).alias("tool_input"), answer.alias("tool_response"), at.alias("ended_at"), F.lit("tool").alias("execution_source"))
+    records = records_of(table(spark, sf_dir, "part").select(F.to_json(record).alias("value"))).withColumn("source_path", F.lit("log"))
+    at = semantic_table(spark, f"{shared_dir(spark)}/semantic-{uuid.uuid4().hex}")
+    at.rebuild(ingest.semantic_entries(ingest.semantic_records(records, "team"), _SIGN_EMBEDDER), F.col("source_path") == "log")
+    return at
+
+
+_INDEX = f"""index_ as (select p_partkey, lpad(p_partkey::varchar, 9, '0') as record_key, 'web search query ' || lower(p_name) as t, strftime(to_timestamp({NOW} - 60 * p_partkey % 86400) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as ended_at,
+ {NOW} - 60 * p_partkey % 86400 + 600 as expires, p_partkey % 7 <> 0 as success from part)"""
+
+
+@query(f"with {_INDEX} select 'signs' as embedding_provider, 'web_search' as operation_kind, count(*) as count, count(case when success then 1 end) as success from index_ having count(*) > 0")
+def semantic_stats(spark, sf_dir):
+    return stats.semantic_stats(_semantic_index(spark, sf_dir).read(), "team").select("embedding_provider", "operation_kind", "count", "success")
+
+
+_SIGN_VECTOR = "[" + ", ".join(f"(length({{t}}) - length(replace({{t}}, '{c}', '')))::double" for c in _SIGNS) + ", length({t})::double]"
+_WORDS = r"regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+|[./:@?&=+\-]')"
+
+
+@query(rf"""with {_INDEX}, near_ as (select * from (select *, row_number() over (order by ended_at desc, record_key) as recency from index_ where success) where recency <= 50),
+q_ as (select p_partkey as query_id, t as q, list_distinct({_WORDS.format(t="t")}) as terms from index_ where p_partkey % 40 = 0),
+c_ as (select q_.*, near_.record_key, near_.t, {_WORDS.format(t="near_.t")} as w, list_cosine_similarity({_SIGN_VECTOR.format(t="q_.q")}, {_SIGN_VECTOR.format(t="near_.t")}) as dense from q_, near_),
+n_ as (select query_id, count(*) as n, avg(len(w)) as mean from c_ group by query_id), x_ as (select query_id, record_key, len(w) as l, unnest(terms) as term, w from c_),
+f_ as (select query_id, record_key, l, term, len(list_filter(w, lambda y: y = term)) as f from x_), d_ as (select *, sum(cast(f > 0 as int)) over (partition by query_id, term) as df from f_),
+r_ as (select query_id, record_key, sum(case when f > 0 then ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * (f * 2.5::double / (f + 1.5::double * (0.25::double + 0.75::double * l / mean))) else 0 end) as raw from d_ join n_ using (query_id) group by query_id, record_key),
+s_ as (select query_id, record_key, dense, case when max(raw) over (partition by query_id) > 0 then raw / max(raw) over (partition by query_id) else 0 end as lexical from r_ join c_ using (query_id, record_key)),
+h_ as (select *, least(1.0::double, 0.8::double * greatest(0.0::double, least(1.0::double, dense)) + 0.2::double * lexical) as score from s_)
+select query_id, record_key, round(round(dense, 6), 5) as dense_score, round(round(lexical, 6), 5) as lexical_score, round(round(score, 6), 5) as final_score, (select count(*) from near_) as candidate_count from h_ where score >= 0.85""")
+def semantic_match(spark, sf_dir):
+    """Retrieval from end to end: import, index, bounded candidates, dense and lexical scores, threshold."""
+    calls = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("query_id"), F.lit("web_search").alias("tool_name"), F.to_json(F.struct(F.col("p_name").alias("query"))).alias("tool_input"))
+    found = match.match_semantic(calls, _semantic_index(spark, sf_dir).read(), _SIGN_EMBEDDER, NOW, "team", top_k=50, candidate_k=50, min_score=0.85, fresh_only=False)
+    each = found.select("query_id", "candidate_count", F.inline("candidates"))
+    return each.select("query_id", "record_key", *(F.round(c, 5).alias(c) for c in ("dense_score", "lexical_score", "final_score")), "candidate_count")
 
 
 class _Overlap:
@@ -379,15 +620,20 @@ class _Overlap:
         return [len(own & set(t.split())) / (1 + len(own)) for t in texts]
 
 
-@query()
+@query(f"""with {_HYBRID}, o_ as (select *, row_number() over (partition by query_id order by round(hybrid, 9) desc, recency_rank) as place, list_distinct([query_id % 7, query_id % 5]) as own, list_distinct([vec_id % 7, vec_id % 5]) as theirs from h_),
+r_ as (select *, case when place <= 10 then len(list_intersect(own, theirs)) / (1 + len(own))::double else hybrid end as final from o_ where place <= 20)
+select query_id, cast(rank as int) as rank, vec_id::varchar as record_key, round(final, 6) as score from (select *, row_number() over (partition by query_id order by round(final, 9) desc, place) as rank from r_ where final >= 0.1) where rank <= 5""")
 def rerank(spark, sf_dir):
-    hybrid = first_per_group(_hybrid(spark, sf_dir), ["query_id"], [F.desc("hybrid"), F.asc("recency_rank")], 20, "hybrid_rank").withColumnRenamed("hybrid", "hybrid_score")
-    rows = hybrid.withColumn("record_key", F.col("vec_id").cast("string")).withColumn("query_text", F.concat_ws(" ", F.col("query_id") % 7, F.col("query_id") % 5)).withColumn("semantic_text", F.concat_ws(" ", F.col("vec_id") % 7, F.col("vec_id") % 5))
+    hybrid = first_per_group(_hybrid(spark, sf_dir), ["query_id"], [F.round("hybrid", 9).desc(), F.asc("recency_rank")], 20, "hybrid_rank").withColumn("hybrid_score", F.round("hybrid", 9))
+    rows = hybrid.select("query_id", "vec_id", "hybrid_rank", "hybrid_score").withColumn("record_key", F.col("vec_id").cast("string"))
+    rows = rows.withColumn("query_text", F.concat_ws(" ", F.col("query_id") % 7, F.col("query_id") % 5)).withColumn("semantic_text", F.concat_ws(" ", F.col("vec_id") % 7, F.col("vec_id") % 5))
     return match.accepted(match.rerank(rows, _Overlap()), 0.1).select("query_id", "rank", "record_key", F.round("final_score", 6).alias("score"))
 
 
-@query()
-def facts_of_calls(spark, sf_dir):
-    rows = exact_call(with_facts(_searches(spark, sf_dir)))
-    return rows.select("p_partkey", "facts.query", "facts.secret_field", "facts.safe_input", "exact.canonical_json")
+# ---- what SQL does not express: a hash that no database has
 
+
+@query()
+def hash_embed(spark, sf_dir):
+    rows = embedded(table(spark, sf_dir, "benchmark"), "text", create_embedder("hashing", dimensions=64))
+    return rows.select("item_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))

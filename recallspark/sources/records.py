@@ -14,6 +14,7 @@ from recallspark.functions.documents import redact_object
 from recallspark.functions.shell import sha256, stable_json
 
 LOG_NAME = "tool_calls.jsonl"
+BROKEN = "Invalid JSON"
 RECORD = (
     "error string, is_object boolean, record_key string, whole_key string, execution_source string, source_is_text boolean, legacy_fields boolean, tool_name string, "
     "tool_input string, tool_response string, started_at string, ended_at string, source_record string"
@@ -65,11 +66,11 @@ def log_path(path: str, spark: SparkSession) -> str:
 def records_of(lines: DataFrame, fail_fast: bool = True) -> DataFrame:
     """Records of a column value of lines, with seq, their order. Blank lines and values that are no objects are left out.
 
-    A line that is no JSON stops the job, or, if not fail_fast, is left out as well.
+    A line that is no JSON stops the job (broken_line tells which it was), or, if not fail_fast, is left out as well.
     """
     rows = lines.where(F.trim(F.regexp_replace("value", r"\s", "")) != "").select(F.monotonically_increasing_id().alias("seq"), parsed(F.col("value")).alias("r"))
     if fail_fast:
-        broken = F.raise_error(F.concat(F.lit("Invalid JSON in record "), F.col("seq").cast("string"), F.lit(": "), F.col("r.error")))
+        broken = F.raise_error(F.concat(F.lit(f"{BROKEN}: "), F.col("r.error")))
         rows = rows.where(F.when(F.col("r.error").isNotNull(), broken.cast("boolean")).otherwise(F.col("r.is_object")))
     return rows.where("r.is_object").select("seq", "r.*").drop("error", "is_object")
 
@@ -78,3 +79,15 @@ def read_records(spark: SparkSession, path: str, fail_fast: bool = True) -> Data
     """The records of a log, or of the log in a folder, with source_path."""
     at = log_path(path, spark)
     return records_of(spark.read.text(at), fail_fast).withColumn("source_path", F.lit(at))
+
+
+def broken_line(spark: SparkSession, path: str) -> str | None:
+    """Where a log's first line stands that is no JSON, and why it is none: path:number: reason. For the way out of a failed job only, as it reads the log twice."""
+    at = log_path(path, spark)
+    rows = spark.read.text(at).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"), "value")
+    bad = rows.where(F.trim(F.regexp_replace("value", r"\s", "")) != "").select("part", "id", parsed(F.col("value")).alias("r")).where("r.error is not null")
+    first = bad.orderBy("id").select("part", "id", "r.error").first()
+    if first is None:
+        return None
+    before = rows.where(F.col("part") < first["part"]).count()
+    return f"{at}:{before + (first['id'] & (1 << 33) - 1) + 1}: {first['error']}"

@@ -1,21 +1,33 @@
 """Import and match from end to end, policies, stores, streams, the command line and the hook."""
 
+import hashlib
+import http.server
 import json
 import math
+import os
+import pathlib
+import threading
 import time
+import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from recallspark.functions import policy, text, vectors
 from recallspark.operators import evaluate, match, ranking
 from recallspark.operators.exact import normalize_exact
+from recallspark.operators.legacy import normalize_calls
 from recallspark.operators.semantic import normalize_semantic
-from recallspark.plans import api, hook
-from recallspark.sources.embedders import HashingEmbedder, HttpEmbedder, create_embedder, squash
-from recallspark.sources.tables import exact_table, semantic_table
+from recallspark.plans import api, cli, hook
+from recallspark.sources.embedders import TextEmbedder, create_embedder, embedded, features, squash
+from recallspark.sources.tables import MOST_DELTAS, StaleTable, exact_table, semantic_table
 from recallspark.streaming import imports
 
+def hashing(n):
+    return create_embedder("hashing", dimensions=n)
+
+
 SEARCH = "https://html.duckduckgo.com/html/?q="
 T0 = 1783497601
 
@@ -93,8 +105,8 @@ def test_rebuild_and_snapshots(spark, tmp_path):
     assert api.ingest_exact_records(spark, path, db)["database"]["total"] == 0
     assert before.count() == 1  # a reader keeps its snapshot
     exact_table(spark, db).vacuum(1)
-    log(src, "{broken")
-    with pytest.raises(Exception, match="Invalid JSON"):
+    log(src, record("a", "terminal", {"command": "ls"}), "", "[1]", "{broken")
+    with pytest.raises(ValueError, match=r"Invalid JSON at .*tool_calls\.jsonl:4: "):
         api.ingest_exact_records(spark, path, db)
     assert exact_table(spark, db).read().count() == 0
 
@@ -144,7 +156,7 @@ def test_semantic_pipeline(spark, tmp_path):
         record("s", "browser_get_content", {}, page("https://e.com/?token=a", "text")), record("st", "browser_get_state", {}, json.dumps({"url": url + "/state", "title": "t"})),
         record("r", "terminal", curl("x"), source="hook_replacement"),
     ]
-    path, db, embedder = log(tmp_path, *records), str(tmp_path / "db"), HashingEmbedder(64)
+    path, db, embedder = log(tmp_path, *records), str(tmp_path / "db"), hashing(64)
     r = api.ingest_semantic_records(spark, path, db, embedder, "s")
     assert (r["seen"], r["imported"], r["unsupported"]) == (8, 5, 3) and r["unsupported_tool_counts"] == {"browser_get_content": 2, "invalid_record": 1}
     assert r["database"]["total"] == 5 and api.ingest_semantic_records(spark, path, db, embedder, "s")["database"]["total"] == 5
@@ -156,7 +168,7 @@ def test_semantic_pipeline(spark, tmp_path):
     assert found["matched"] and not found["reusable"] and found["candidate_count"] == 2 and found["candidates"][0]["record_key"] == "q1" and found["candidates"][0]["final_score"] == 1.0
     seen = ask("browser_navigate", {"url": url})
     assert seen["candidates"][0]["record_key"] == "p" and seen["candidates"][0]["metadata_boost"] >= 0.7
-    assert ask("terminal", curl("vector"), scope="other")["candidate_count"] == 0 and ask("terminal", curl("vector"), embedder=HashingEmbedder(32))["candidate_count"] == 0
+    assert ask("terminal", curl("vector"), scope="other")["candidate_count"] == 0 and ask("terminal", curl("vector"), embedder=hashing(32))["candidate_count"] == 0
     assert ask("terminal", curl("vector"), candidate_k=1)["candidate_count"] == 1
     again = ask("terminal", curl("vector+search"), reranker=Reverse(), min_score=0.1)
     assert [c["record_key"] for c in again["candidates"]] == ["q2", "q1"] and again["candidates"][0]["rerank_score"] == 0.71
@@ -201,17 +213,142 @@ def test_scores(spark):
     rows = [([1.0, 0.0], [2.0, 0.0], 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0), ([1.0], [1.0, 2.0], 0.0), ([0.0, 0.0], [1.0, 1.0], 0.0), ([], [], 0.0)]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>, w double")
     assert all(math.isclose(r[0], r[1]) for r in df.select(vectors.cosine(F.col("a"), F.col("b")), "w").collect())
-    assert squash(0.3) == 0.3 and round(squash(2.0), 4) == 0.8808
-    e = HashingEmbedder(64)
+    assert squash(0.3) == 0.3 and squash([2.0, 1.0]).round(4).tolist() == [0.8808, 1.0]
+    e = hashing(64)
     assert e.embed_query("a b") == e.embed_documents(["a b"])[0] and math.isclose(sum(x * x for x in e.embed_query("a b c")), 1)
-    ids = {HttpEmbedder("m", base_url=u, dimensions=d, query_prefix=p).index_id for u in ("http://a", "http://b") for d in (None, 8) for p in ("", "q")}
-    assert len(ids) == 8 and create_embedder("hashing").dimensions == 384
+    ids = {create_embedder("openai-compatible", model="m", base_url=u, dimensions=d, query_prefix=p).index_id for u in ("http://a", "http://b") for d in (None, 8) for p in ("", "q")}
+    assert len(ids) == 8 and len(create_embedder("hashing").embed_query("a")) == 384
     with pytest.raises(ValueError):
         create_embedder("nothing")
     with pytest.raises(RuntimeError):
         create_embedder("sentence-transformers")
 
 
+def test_hashed_features(spark):
+    """The batch function against one text, feature by feature."""
+    texts = ["", "Ab_1 x.y", "中文字 a", "a a a"]
+    for text_, found in zip(texts, hashing(16).embed_documents(texts), strict=True):
+        want = [0.0] * 16
+        for f in features(text_):
+            n = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
+            want[n % 16] += -1.0 if n >> 63 else 1.0
+        size = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert all(math.isclose(x / size, y, abs_tol=1e-12) for x, y in zip(want, found, strict=True))
+    assert features("Ab 中文") == ["ab", "中文", "中", "文", "中文", "ab::中文", "中文::中", "中::文", "文::中文"]
+
+
+def test_embedding_service(spark):
+    seen = []
+
+    class Fake(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers.get("Authorization"), body))
+            rows = [{"index": k, "embedding": [float(len(t)), 0.0]} for k, t in enumerate(body["input"])][::-1]
+            if "short" in body["input"]:
+                rows = rows[1:]
+            self.send_response(500 if "fail" in body["input"] else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": rows}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    with http.server.HTTPServer(("127.0.0.1", 0), Fake) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        e = create_embedder("openai-compatible", model="m", base_url=f"http://127.0.0.1:{server.server_port}/v1/", api_key="k", dimensions=2, document_prefix="d ")
+        assert e.embed_documents(["a", ""]) == [[1.0, 0.0], [1.0, 0.0]] and seen[-1] == ("/v1/embeddings", "Bearer k", {"model": "m", "input": ["d a", "d "], "dimensions": 2})
+        texts = spark.createDataFrame([(f"t{k}",) for k in range(5)], "t string").coalesce(1)
+        assert embedded(texts, "t", e, batch_size=2).count() == 5 and [len(b["input"]) for _, _, b in seen[-3:]] == [2, 2, 1]
+        plain = create_embedder("openai-compatible", model="m", base_url=f"http://127.0.0.1:{server.server_port}")
+        assert plain.embed_query("abc") == [1.0, 0.0] and "dimensions" not in seen[-1][2]
+        with pytest.raises(Exception, match="500"):
+            plain.embed_query("fail")
+        with pytest.raises(Exception, match="wrong batch size"):
+            embedded(spark.createDataFrame([("short",)], "t string"), "t", plain).collect()
+        server.shutdown()
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    notes = tmp_path / "notes"
+    notes.mkdir()
+
+    def counting(texts):
+        (notes / uuid.uuid4().hex).write_text(json.dumps(texts))
+        return np.array([[len(t), t.count("a") + 1.0] for t in texts], float).reshape(len(texts), 2)
+
+    def sent():
+        out = [t for f in notes.iterdir() for t in json.loads(f.read_text())]
+        for f in notes.iterdir():
+            f.unlink()
+        return sorted(out)
+
+    e = TextEmbedder("counting", "counting-1", counting)
+    path, db = log(tmp_path, *(record(f"k{k}", "terminal", curl(f"word{k}+x")) for k in range(6))), str(tmp_path / "db")
+    api.ingest_semantic_records(spark, path, db, e, "s")
+    assert len(sent()) == 6
+    for reranker in (None, Reverse()):
+        found = api.match_semantic(spark, db, "terminal", curl("word1+x"), e, "s", T0 + 60, reranker=reranker, min_score=0.1)
+        assert found["candidate_count"] == 6 and len(sent()) == 1
+
+
+def test_layout_and_modes(spark, tmp_path):
+    path, db = log(tmp_path, record("a", "web_search", {"query": "x"})), str(tmp_path / "db")
+    api.ingest_exact_records(spark, path, db)
+    assert {oct(os.stat(f).st_mode & 0o777) for f in pathlib.Path(db).rglob("*.parquet")} == {"0o600"} and os.stat(db).st_mode & 0o777 == 0o700
+    at = exact_table(spark, db)
+    old = exact_table(spark, db)
+    old.layout = "exact-v4"
+    old.replace(at.read())
+    with pytest.raises(StaleTable, match="rebuild"):
+        at.read()
+    assert api.ingest_exact_records(spark, path, db)["database"]["total"] == 1  # a writer makes it anew
+
+
+def test_deltas(spark, tmp_path):
+    at = exact_table(spark, str(tmp_path / "t"))
+    rows = lambda key, text_: spark.createDataFrame([(0, key, "old"), (1, key, text_)], "seq int, record_key string, response_text string").select("seq", *(F.col(c) if c in ("record_key", "response_text") else F.lit(None).cast(t).alias(c) for c, t in spark.createDataFrame([], at.schema).dtypes))
+    for k in range(MOST_DELTAS + 3):
+        at.append(rows(f"k{k % 2}", f"t{k}"))
+        want = {f"k{j % 2}": f"t{j}" for j in range(k + 1)}
+        assert {r["record_key"]: r["response_text"] for r in at.read().collect()} == want
+    assert len(at._current()["deltas"]) <= 2
+
+
+def test_keys_before_windows(spark, exact_db):
+    queries = spark.createDataFrame([(1, "x", True)], "query_id long, exact_key string, replayable boolean")
+    plan = match.match_keys(queries, exact_table(spark, str(exact_db[0] / "db")).read(), T0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("Window")  # below it
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    path, db, sdb = log(tmp_path, record("a", "web_search", {"query": "x"})), str(tmp_path / "db"), str(tmp_path / "sdb")
+
+    def run(*argv):
+        assert cli.main(list(argv)) == 0
+        return json.loads(capsys.readouterr().out)
+
+    assert run("exact-ingest", "--db", db, "--records", path, "--scope", "s")["imported"] == 1
+    assert run("exact-stats", "--db", db)["total"] == 1
+    assert run("exact-match", "--db", db, "--tool", "web_search", "--input-json", '{"query": "x"}', "--scope", "s", "--full-response")["matched"]
+    model = ("--provider", "hashing", "--dimensions", "16")
+    assert run("semantic-ingest", "--db", sdb, "--records", path, "--scope", "s", *model)["imported"] == 1
+    assert run("semantic-match", "--db", sdb, "--tool", "web_search", "--input-json", '{"query": "x"}', "--scope", "s", "--include-stale", *model)["candidates"][0]["record_key"] == "a"
+    assert run("semantic-stats", "--db", sdb, "--scope", "s")["total"] == 1
+    with pytest.raises(SystemExit):
+        cli.main(["exact-match", "--db", db, "--tool", "x", "--input-json", "[1]", "--scope", "s"])
+
+
+def test_legacy_calls(spark):
+    rows = [("terminal", {"command": "curl 'https://e.com/a?b=c'"}), ("terminal", {"command": "curl --url foo"}), ("Search", {"query": [{"text": "now x"}]}), ("x", {"b": 1, "a": [2]})]
+    got = [r["normalized"] for r in normalize_calls(calls(spark, *rows)).orderBy("query_id").collect()]
+    assert got[1] is None and [g["kind"] for g in got if g] == ["curl", "web_search", "generic"]
+    assert (got[0]["intent_text"], got[0]["freshness_class"], got[0]["ttl_seconds"]) == ("curl get e.com /a b c", "web", 3600)
+    assert (got[2]["intent_text"], got[2]["freshness_class"]) == ("web search: now x", "volatile") and got[3]["intent_text"] == 'x: {"a":[2],"b":1}'
+    assert json.loads(got[0]["fingerprint"])["query_pairs"] == [{"name": "b", "value": "c"}]
+
+
 def test_evaluation(spark):
     ranked = spark.createDataFrame([(1, "a", 1, 0.9), (1, "b", 2, 0.5), (2, "c", 1, 0.8), (2, "d", 2, 0.7)], "query_id long, record_key string, rank int, score double")
     relevant = spark.createDataFrame([(1, "a"), (1, "z"), (2, "d"), (3, "q")], "query_id long, record_key string")
@@ -233,16 +370,40 @@ def test_hook(spark, exact_db):
         assert hook.decide(event, e, fresh) == (hook.ALLOW, 0)
 
 
+def test_hook_of_a_session_that_stays(spark, exact_db, tmp_path):
+    stop, path = threading.Event(), str(tmp_path / "s")
+    fresh = lambda *a, **o: api.match_exact(spark, *a, now_epoch=T0 + 5, **o)
+    server = threading.Thread(target=hook.serve, args=(path, fresh, stop.is_set))
+    server.start()
+    env = {"RECALL_DB": str(exact_db[0] / "db"), "RECALL_SCOPE": "s", "RECALL_SOCKET": path}
+    try:
+        for _ in range(100):
+            if os.path.exists(path):
+                break
+            time.sleep(0.05)
+        hook.ANSWER_SECONDS = 60.0
+        out, code = hook.decide(json.dumps({"tool_name": "terminal", "tool_input": curl("one")}), env)
+        assert code == 2 and out["toolResponseMetadata"]["cacheRecordKey"] == "b"
+        assert hook.decide(json.dumps({"tool_name": "terminal", "tool_input": curl("none")}), env) == (hook.ALLOW, 0)
+        assert hook.decide(json.dumps({"tool_name": "terminal", "tool_input": curl("one")}), env | {"RECALL_DB": "/none"}) == (hook.ALLOW, 0)
+    finally:
+        stop.set()
+        server.join()
+    assert hook.decide(json.dumps({"tool_name": "terminal", "tool_input": curl("one")}), env) == (hook.ALLOW, 0)  # nobody answers
+
+
 def test_streams(spark, tmp_path):
     src, db = tmp_path / "in", str(tmp_path / "db")
     src.mkdir()
     (src / "1.jsonl").write_text(json.dumps(record("a", "web_search", {"query": "x"})) + "\n" + json.dumps(record("b", "web_search", {"query": "y"}, source="hook_replacement")) + "\n")
-    run = lambda: imports.import_exact(imports.lines(spark, str(src)), db, str(tmp_path / "ck"), "s").trigger(availableNow=True).start().awaitTermination(120)
+    reports = []
+    run = lambda: imports.import_exact(imports.lines(spark, str(src)), db, str(tmp_path / "ck"), "s", report=lambda _, r: reports.append(r)).trigger(availableNow=True).start().awaitTermination(120)
     run()
     (src / "2.jsonl").write_text(json.dumps(record("a", "web_search", {"query": "z"})) + "\nnot json\n")
     run()
     rows = exact_table(spark, db).read().collect()
     assert [json.loads(r["tool_input"])["query"] for r in rows] == ["z"]
+    assert [(r["seen"], r["imported"], r["broken_lines"]) for r in reports] == [(2, 1, 0), (1, 1, 1)]
     events = tmp_path / "events"
     events.mkdir()
     (events / "e.json").write_text("\n".join(json.dumps({"query_id": k, "tool_name": "web_search", "tool_input": json.dumps({"query": q}), "now": n}) for k, q, n in ((1, "z", T0 + 1), (2, "z", T0 + 9999), (3, "w", T0))))
