@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recallspark.functions import policy, vectors
 from recallspark.functions.text import preview
 from recallspark.operators.exact import exact_call, with_facts
-from recallspark.operators.ranking import bm25, first_per_group
+from recallspark.operators.ranking import bm25_of_bounded, first_per_group
 from recallspark.operators.semantic import normalize_semantic
 from recallspark.sources.embedders import Embedder, Reranker, embedded
 
@@ -87,7 +87,7 @@ def score_candidates(pairs: DataFrame, query_vectors: DataFrame, dense_weight: f
 
     query_vectors (query_id, query_vector) come in after the lexical scores, in one place of the plan: a query is embedded once.
     """
-    scored = bm25(pairs, "query_text", "semantic_text", ["query_id"], ["record_key"]).join(query_vectors, "query_id")
+    scored = bm25_of_bounded(pairs, "query_text", "semantic_text", ["query_id"]).join(query_vectors, "query_id")
     dense = vectors.cosine(F.col("query_vector"), F.col("embedding"))
     boost = vectors.metadata_boost(F.col("query_metadata"), F.col("metadata"))
     scored = scored.withColumn("dense_score", dense).withColumn("metadata_boost", boost).drop("query_vector")

@@ -14,6 +14,27 @@ def first_per_group(rows: DataFrame, group: list[str], order: list[Column], n: i
     return rows.withColumn(rank, F.row_number().over(over)).where(F.col(rank) <= n)
 
 
+def _idf_weight(f: Column, df: Column, n: Column, length: Column, mean: Column, k1: float, b: float) -> Column:
+    """What a term that occurs f times adds to a text's score."""
+    one, half, f, df = F.lit(1.0), F.lit(0.5), f.cast("double"), df.cast("double")
+    below = F.when(mean > 0, f + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * length / mean)).otherwise(f)
+    return F.when(f > 0, F.ln(one + (n - df + half) / (df + half)) * (f * F.lit(k1 + 1) / below)).otherwise(0.0)
+
+
+def bm25_of_bounded(candidates: DataFrame, query_col: str, text_col: str, group: list[str], out_col: str = "lexical_score", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """As bm25, for groups of bounded size, as a query's candidates are: windows over one exchange, and each row is read once."""
+    words, terms = tokens(F.col(text_col)), F.array_distinct(tokens(F.col(query_col)))
+    rows = candidates.withColumn("__words", words).withColumn("__terms", terms)
+    rows = rows.withColumn("__tf", F.transform("__terms", lambda t: F.size(F.filter("__words", lambda x: x == t)))).withColumn("__length", F.size("__words")).drop("__words", "__terms")
+    whole = Window.partitionBy(*group)
+    rows = rows.withColumn("__n", F.count(F.lit(1)).over(whole).cast("double")).withColumn("__mean", F.avg("__length").over(whole)).withColumn("__all", F.collect_list("__tf").over(whole))
+    df = F.transform("__tf", lambda _, k: F.size(F.filter("__all", lambda t: F.get(t, k) > 0)))
+    each = F.zip_with("__tf", df, lambda f, d: _idf_weight(f, d, F.col("__n"), F.col("__length"), F.col("__mean"), k1, b))
+    rows = rows.withColumn("__raw", F.aggregate(each, F.lit(0.0), lambda s, x: s + x)).drop("__all", "__tf")
+    top = F.max("__raw").over(whole)
+    return rows.withColumn("__top", top).withColumn(out_col, F.when(F.col("__top") > 0, F.col("__raw") / F.col("__top")).otherwise(0.0)).drop("__n", "__mean", "__length", "__raw", "__top")
+
+
 def bm25(candidates: DataFrame, query_col: str, text_col: str, group: list[str], row: list[str], out_col: str = "lexical_score", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """candidates with BM25 of their texts for the query of their group, divided by the group's largest; 0 for all if none is above 0.
 
@@ -34,15 +55,8 @@ def bm25(candidates: DataFrame, query_col: str, text_col: str, group: list[str],
         F.sum(F.when(F.col("place") < 0, F.col("n"))).alias("__n"), F.sum("length").alias("__total"),
         F.map_from_entries(F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "n")))).alias("__df"),
     )
-    one, half, n = F.lit(1.0), F.lit(0.5), F.col("__n").cast("double")
-    mean = F.col("__total") / n
-    below = lambda f: F.when(mean > 0, f + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("__length") / mean)).otherwise(f)
-
-    def weight(f, place):
-        df = F.element_at("__df", place).cast("double")
-        f = f.cast("double")
-        return F.when(f > 0, F.ln(one + (n - df + half) / (df + half)) * (f * F.lit(k1 + 1) / below(f))).otherwise(0.0)
-
+    n = F.col("__n").cast("double")
+    weight = lambda f, place: _idf_weight(f, F.element_at("__df", place), n, F.col("__length"), F.col("__total") / n, k1, b)
     raw = F.aggregate(F.transform("__tf", weight), F.lit(0.0), lambda s, x: s + x)
     raw = rows.join(stats, group).select(*group, *row, raw.alias("__raw"))
     top = raw.groupBy(*group).agg(F.max("__raw").alias("__top"), F.count(F.struct(*row)).alias("__rows"))

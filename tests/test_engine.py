@@ -210,6 +210,8 @@ def test_scores(spark):
     df = spark.createDataFrame([(*d, "semantic embedding search") for d in docs], "query_id long, record_key string, t string, q string")
     got = {(r["query_id"], r["record_key"]): r["lexical_score"] for r in ranking.bm25(df, "q", "t", ["query_id"], ["record_key"]).collect()}
     assert got == {(0, "a"): 1.0, (0, "b"): 0.0, (1, "a"): 0.0, (1, "b"): 0.0}
+    bounded = {(r["query_id"], r["record_key"]): r["lexical_score"] for r in ranking.bm25_of_bounded(df, "q", "t", ["query_id"]).collect()}
+    assert bounded == got
     rows = [([1.0, 0.0], [2.0, 0.0], 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0), ([1.0], [1.0, 2.0], 0.0), ([0.0, 0.0], [1.0, 1.0], 0.0), ([], [], 0.0)]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>, w double")
     assert all(math.isclose(r[0], r[1]) for r in df.select(vectors.cosine(F.col("a"), F.col("b")), "w").collect())
