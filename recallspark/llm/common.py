@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """What runs in here removes its shuffle files when it ends. Else they stay until the driver happens to collect its garbage, which on large tables is far too late."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables that an operator writes to the shared folder on its way: lineage ends there, and a lost executor costs nothing.
 
@@ -34,7 +47,8 @@ class Scratch:
     def keep(self, df: DataFrame, *old: DataFrame) -> DataFrame:
         """df as a written table. Tables in old, which are not needed beyond it, are dropped."""
         path = f"{self.path}/{len(self._kept)}"
-        df.write.parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._kept.append((out, path))
         self.drop(*old)

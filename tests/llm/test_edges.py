@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns with clashing names."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -326,6 +328,48 @@ def test_near_copies_of_ids_with_several_texts(spark):
     assert sorted((x["doc_id"] or 0, x["text"].removesuffix(" x")) for x in got) == sorted([(0, a), (1, a), (1, b), (2, c)])
 
 
+def test_shuffle_files_go_with_their_table(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", env.blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before = shuffles()
+    table = Scratch(spark, "test").keep(spark.range(200_000).groupBy(F.xxhash64("id").alias("k")).count())
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and table.count() == 200_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_unlike_candidates_are_not_sent(spark, monkeypatch):
+    r = random.Random(8)
+    texts, sent = [], []
+    for k in range(40):  # texts with a common passage in their midst, and near copies of some of them
+        texts.append(f"{prose(100 + k, 50)} {prose(99, 200)} {prose(200 + k, 50)}")
+        if k % 4 == 0:
+            words = texts[-1].split()
+            words[r.randrange(len(words))] = "other"
+            texts.append(" ".join(words))
+    near = near_copies._near
+    monkeypatch.setattr(near_copies, "FREQUENT", 1000)
+    monkeypatch.setattr(near_copies, "_near", lambda scratch, pairs, *more: sent.append(pairs.count()) or near(scratch, pairs, *more))
+    want = brute.components(range(len(texts)), brute.near_pairs(texts))
+    found = near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {x["doc_id"]: x["component_id"] for x in found.collect()} == want
+    assert sum(sent) <= 20
+
+
+def test_bitmaps_lose_no_near_copy():
+    r = np.random.default_rng(4)
+    for n in (1, 5, 63, 64, 65, 130, 1000, 5000):
+        for gone in {0, n // 20, n // 9, n // 5}:
+            a = np.unique(r.integers(-(2**62), 2**62, n))
+            b = np.unique(np.concatenate([a[: len(a) - gone], r.integers(-(2**62), 2**62, gone // 8)]))
+            x, y = near_copies._parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            apart = len(np.setxor1d(a, b))
+            assert near_copies._differing(x, y) <= apart and near_copies._differing(x, y) % 2 == apart % 2
+
+
 def test_golay_keys():
     r = np.random.default_rng(3)
     words = r.integers(0, 1 << 23, 500)
