@@ -85,12 +85,12 @@ class WordIds:
         self.at, self.n, self.met = after - n, n, np.zeros(len(keep), np.int64)
 
     def _encode(self, text: str) -> list[int]:
-        return self.encoder.encode(text, add_special_tokens=False).ids
+        return self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids  # the same ids, without their places in the text
 
     def _many(self, parts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-        """Ids of pre-tokens: some thousands of these, their ids one after the other, and where each one's end."""
-        for k in range(0, len(parts), 2000):
-            part = parts[k : k + 2000]
+        """Ids of pre-tokens: some hundreds of these, their ids one after the other, and where each one's end."""
+        for k in range(0, len(parts), 250):
+            part = parts[k : k + 250]
             ids = np.array(self._encode(" ".join(part)), np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1  # the last id of a pre-token closes it
             if len(ends) != len(part):
@@ -117,9 +117,12 @@ class WordIds:
         return [b"".join([known[p] for p in parts]) for parts in cut]
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
+        texts = b" ".join(words).decode("utf-8", "replace").split(" ")  # no word holds a space
         one, several, odd = [], [], []
         for k, x in enumerate(texts):
+            if self.by_part and x.isascii() and x.isalpha():
+                one.append(k)
+                continue
             plain = self.by_part and _PLAIN.fullmatch(x) and "<|" not in x
             (odd if not plain else one if x.isalpha() else several).append(k)
         at, n, added, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], len(self.ids)

@@ -216,6 +216,18 @@ def test_packing(spark, docs, empty):
     assert packing.pack_documents(nulls).agg(F.sum("length")).first()[0] == sum(map(len, want.values()))
 
 
+def test_word_ids_of_many_new_words():
+    from tokenizers import Tokenizer
+
+    r = random.Random(5)
+    letters = "abcdefgxyzABCÄßéñøĲžΣσς日ا\u0130ﬁ0123'.,-_<|>"
+    words = ["".join(r.choice(letters) for _ in range(r.randrange(1, 9))).encode() for _ in range(3000)] + [b"ab\xe3\x81", b"\xff", b"\xe3", b"a\xc3"]
+    r.shuffle(words)
+    encoder = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
+    ids, n = packing.WordIds(packing.tokenizer_path(packing.TOKENIZER), 2)([b" ".join(words), None])
+    assert ids.tolist() == encoder.encode(b" ".join(words).decode("utf-8", "replace"), add_special_tokens=False).ids + [2, 2] and n.tolist() == [len(ids) - 1, 1]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_lengths(seed):
     r = np.random.default_rng(seed)
