@@ -61,9 +61,9 @@ def match_exact(spark: SparkSession, table_path: str, tool_name: str, tool_input
     """The answer for one call, as a document; batches of calls go through operators.match."""
     now = int(time.time()) if now_epoch is None else now_epoch
     entries = exact_table(spark, table_path).read()
-    key = exact_call(with_facts(_one(spark, tool_name, tool_input), cache_scope, parts=("key",))).select("exact.exact_key").first()[0]
+    key = exact_call(with_facts(_one(spark, tool_name, tool_input), cache_scope, parts=("key",), dealt=True)).select("exact.exact_key").first()[0]
     entries = entries.where(F.col("exact_key") == F.lit(key))  # goes down to the files, which are in order of the key
-    row = match.match_exact(_one(spark, tool_name, tool_input), entries, now, cache_scope, limit, include_response).first().asDict(True)
+    row = match.match_exact(_one(spark, tool_name, tool_input), entries, now, cache_scope, limit, include_response, True).first().asDict(True)
     if not row["supported"]:
         return {k: row[k] for k in ("supported", "matched", "reusable", "reason")}
     out = {k: row[k] for k in ("supported", "matched", "reusable", "reason", "exact_key", "key_version", "operation_kind")}
@@ -81,7 +81,7 @@ def match_semantic(spark: SparkSession, table_path: str, tool_name: str, tool_in
     now = int(time.time()) if now_epoch is None else now_epoch
     queries = _one(spark, tool_name, tool_input)
     entries = semantic_table(spark, table_path).read()
-    row = match.match_semantic(queries, entries, embedder, now, cache_scope, reranker=reranker, include_response=include_response, **options).first().asDict(True)
+    row = match.match_semantic(queries, entries, embedder, now, cache_scope, reranker=reranker, include_response=include_response, dealt=True, **options).first().asDict(True)
     row["candidates"] = row["candidates"] or []
     if not row["supported"]:
         return {k: row[k] for k in ("supported", "matched", "reusable", "reason", "candidates")}
