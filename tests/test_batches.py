@@ -11,7 +11,7 @@ import pytest
 from recallspark.functions import batches, documents, shell
 from recallspark.plans.queries import QUERIES
 
-DEALT = ["redact_calls", "exact_key_curl", "semantic_text_curl"]
+DEALT = ["redact_calls", "exact_key_curl", "semantic_text_curl", "curl_fingerprint"]
 
 
 @pytest.mark.parametrize("name", DEALT)
