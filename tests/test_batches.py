@@ -11,7 +11,7 @@ import pytest
 from recallspark.functions import batches, documents, shell
 from recallspark.plans.queries import QUERIES
 
-DEALT = ["redact_calls", "exact_key_curl", "semantic_text_curl", "curl_fingerprint", "legacy_calls", "import_entries", "exact_reason", "facts_of_calls", "semantic_text_search", "import_report"]
+DEALT = ["redact_calls", "exact_key_curl", "semantic_text_curl", "curl_fingerprint", "legacy_calls", "import_entries", "exact_reason", "facts_of_calls", "semantic_text_search", "import_report", "reuse_coverage"]
 
 
 @pytest.mark.parametrize("name", DEALT)
